@@ -7,6 +7,8 @@ import importlib
 #: Query name, module, and whether the module has ORACLE, the query's SQL.
 _QUERIES = [
     ("op1_quality_rules", "quality_rules", True),
+    ("op2_token_counts", "token_counts", False),
+    ("op10_bpe_codec", "bpe_codec", False),
 ]
 
 
