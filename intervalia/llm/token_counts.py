@@ -29,8 +29,8 @@ from .bpe_codec import _read, vocabulary_file
 from .common import slices, table, utf8
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Compiled states of the second transducer that a worker keeps between batches (1.3 kB each).
-MOST_STATES = 65_536
+#: Compiled states of the second transducer that a worker keeps between batches (about 1 kB each).
+MOST_STATES = 200_000
 #: Characters in a chunk of the first transducer.
 CHUNK = 256
 
@@ -132,7 +132,9 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 class CountTransducer:
-    """step[state, byte]: the next state, or -1 where it isn't compiled yet; emit[state, byte]: change in tokens."""
+    """step[state, column]: the next state, or -1 where it isn't compiled yet; emit[state, column]: change in tokens.
+
+    Bytes get columns as they are first met, since most corpora use under half of them."""
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
@@ -141,7 +143,9 @@ class CountTransducer:
     def clear(self) -> None:
         self.keys: list[tuple] = []
         self.known: dict[tuple, int] = {}
-        self.step, self.emit = np.full((1024, 256), -1, np.int32), np.zeros((1024, 256), np.int8)
+        self.width, self.bytes = 128, b""
+        self.column = np.full(256, -1, np.int64)
+        self.step, self.emit = np.full((1024, self.width), -1, np.int32), np.zeros((1024, self.width), np.int8)
         self.state((b"", ((0, b"", 0),)))
 
     def state(self, key: tuple) -> int:
@@ -153,9 +157,19 @@ class CountTransducer:
                 self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
         return found
 
-    def compile(self, state: int, byte: int) -> None:
+    def columns(self, data: np.ndarray) -> np.ndarray:
+        for byte in np.flatnonzero(np.bincount(data, minlength=256)):
+            if self.column[byte] < 0:
+                self.column[byte] = len(self.bytes)
+                self.bytes += bytes([byte])
+        if len(self.bytes) > self.width:
+            more = ((0, 0), (0, 256 - self.width))
+            self.step, self.emit, self.width = np.pad(self.step, more, constant_values=-1), np.pad(self.emit, more), 256
+        return self.column[data]
+
+    def compile(self, state: int, column: int) -> None:
         suffix, opens = self.keys[state]
-        suffix += bytes([byte])
+        suffix += self.bytes[column : column + 1]
         size, best = len(suffix), None
         kept = []
         for back, last, count in opens:  # back: bytes from where a token may begin to the end
@@ -168,23 +182,24 @@ class CountTransducer:
         kept = [(back, last, c - count) for back, last, c in kept]
         longest = kept[0][0] if kept else 0
         at = self.state((suffix[size - longest :], (*kept, (0, token, 0))))
-        self.step[state, byte], self.emit[state, byte] = at, count
+        self.step[state, column], self.emit[state, column] = at, count
 
     def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tokens of each piece."""
         if len(self.keys) > MOST_STATES:
             self.clear()
+        data = self.columns(data)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int32)
         alive = len(order) - np.cumsum(np.bincount(lengths, minlength=1))  # pieces longer than k
         for k in range(int(lengths[0]) if len(lengths) else 0):
             m = alive[k]
-            at = state[:m] * 256 + data[starts[:m] + k]
+            at = state[:m] * self.width + data[starts[:m] + k]
             to = self.step.ravel()[at]
             if (new := to < 0).any():
                 for x in np.unique(at[new]):
-                    self.compile(int(x) >> 8, int(x) & 255)
+                    self.compile(*divmod(int(x), self.width))
                 to = self.step.ravel()[at]
             total[:m] += self.emit.ravel()[at]
             state[:m] = to
