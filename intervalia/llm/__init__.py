@@ -9,6 +9,7 @@ _QUERIES = [
     ("op1_quality_rules", "quality_rules", True),
     ("op2_token_counts", "token_counts", False),
     ("op3_language_id", "language_id", False),
+    ("op6_simhash", "simhash", False),
     ("op8_quality_classifier", "quality_classifier", False),
     ("op10_bpe_codec", "bpe_codec", False),
 ]
