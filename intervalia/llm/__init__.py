@@ -11,6 +11,7 @@ _QUERIES = [
     ("op3_language_id", "language_id", False),
     ("op6_simhash", "simhash", False),
     ("op8_quality_classifier", "quality_classifier", False),
+    ("op9_line_dedup", "line_dedup", False),
     ("op10_bpe_codec", "bpe_codec", False),
 ]
 

@@ -86,11 +86,11 @@ def _stream(worker: Callable, keys: list[str], limit: int | None, schema_in: T.S
     return run
 
 
-def by_runs(rows: DataFrame, keys: list[str], worker: Callable, out: list[str], scratch: Scratch, limit: int) -> DataFrame:
+def by_runs(rows: DataFrame, keys: list[str], worker: Callable, out: list[str], scratch: Scratch, limit: int, order: list[str] = []) -> DataFrame:
     """All of worker's output rows; rows and output hold whole numbers (bigint) without nulls only."""
     names = rows.columns
     schema = T.StructType([T.StructField("hot", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in [*out, *(f"in_{x}" for x in names)])])
-    first = scratch.write(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_stream(worker, keys, limit, rows.schema, out), schema))
+    first = scratch.write(rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_stream(worker, keys, limit, rows.schema, out), schema))
     made = first.where("not hot").select(*out)
     again = first.where("hot").select(*(F.col(f"in_{n}").alias(n) for n in names))
     if again.isEmpty():
@@ -107,5 +107,5 @@ def by_runs(rows: DataFrame, keys: list[str], worker: Callable, out: list[str],
     more = [*keys, "_i", "_j"]
     inner = _stream(worker, more, None, dealt.schema, out)
     schema2 = T.StructType([*schema.fields, T.StructField("in__i", T.LongType()), T.StructField("in__j", T.LongType())])
-    second = dealt.repartition(*more).sortWithinPartitions(*more).mapInArrow(inner, schema2).select(*out)
+    second = dealt.repartition(*more).sortWithinPartitions(*more, *order).mapInArrow(inner, schema2).select(*out)
     return made.unionByName(scratch.write(second))
