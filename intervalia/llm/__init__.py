@@ -9,7 +9,9 @@ _QUERIES = [
     ("op1_quality_rules", "quality_rules", True),
     ("op2_token_counts", "token_counts", False),
     ("op3_language_id", "language_id", False),
+    ("op5_decontamination", "decontamination", False),
     ("op6_simhash", "simhash", False),
+    ("op7_warc", "warc", False),
     ("op8_quality_classifier", "quality_classifier", False),
     ("op9_line_dedup", "line_dedup", False),
     ("op10_bpe_codec", "bpe_codec", False),
