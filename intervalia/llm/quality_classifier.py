@@ -84,12 +84,15 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return (*map(float, own), float(beta[-1] - own @ mean))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "quality") -> Model:
-    """labelled: doc_id, text and label (1 good, 0 bad); other labels and null texts are left out."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality") -> Model:
+    """docs: doc_id and text; labels: doc_id and label (1 good, 0 bad; others are left out). Null texts are left out.
+
+    The sample is chosen among the labels alone, so that only PER_LABEL ids of a task and the chosen texts are moved."""
     samples = {}
     for value in (1, 0):
-        own = labelled.where((F.col(label) == value) & F.col(text).isNotNull()).select("doc_id", F.substring(text, 1, TRAIN_BYTES).alias("text"))
-        samples[value] = [r.text for r in own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(PER_LABEL).collect()]
+        ids = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL)
+        own = docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", F.substring(text, 1, TRAIN_BYTES).alias("text"))  # PER_LABEL ids
+        samples[value] = [r.text for r in sorted(own.collect(), key=lambda r: (r.doc_id, r.text))][:PER_LABEL]
     n1, n0 = len(samples[1]), len(samples[0])
     if not n1 or not n0:
         share = n1 / (n1 + n0) if n1 + n0 else 0.5
@@ -117,5 +120,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = train(docs.where(fold(3) != 1).join(labels.where(fold(3) != 1), "doc_id"))
+    model = train(docs.where(fold(3) != 1), labels.where(fold(3) != 1))
     return score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
