@@ -43,7 +43,7 @@ class Scratch:
         self._n = 0
         atexit.register(self._clear)
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n}"
         df.write.option("compression", codec).parquet(path)
