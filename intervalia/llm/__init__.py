@@ -9,6 +9,7 @@ _QUERIES = [
     ("op1_quality_rules", "quality_rules", True),
     ("op2_token_counts", "token_counts", False),
     ("op3_language_id", "language_id", False),
+    ("op4_suffix_dedup", "suffix_dedup", False),
     ("op5_decontamination", "decontamination", False),
     ("op6_simhash", "simhash", False),
     ("op7_warc", "warc", False),
