@@ -111,7 +111,7 @@ def edge_windows(spark, sf_dir):
     return I.edge_windows(_regions(p), _tracks(p), 0.25).select("track", _r("start"), _r("end"), "n")
 
 
-@query("""select c.cand_id, count(w.start) as words, round(coalesce(max(case when w.value >= 425 then 1.0 else 0.3 end), 0)::double, 6) as penalty
+@query("""select c.cand_id, count(w.start) as words, round(coalesce(max(case when w.start is null then 0.0 when w.value >= 425 then 1.0 else 0.3 end), 0)::double, 6) as penalty
  from cand c left join words w on c.track = w.track and w.start < c.t and c.t < w."end" group by c.cand_id""")
 def point_in_word_penalty(spark, sf_dir):
     p = points(spark, sf_dir)
