@@ -197,6 +197,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = np.full(len(th), SIDE + 1, np.int32), np.full(len(th), -1, np.int32)
         for o in range(SIDE + 1):
             rows = np.flatnonzero(ok[:, o])
+            if len(rows) < 2:
+                continue
             rows = rows[np.argsort(hashes[rows, o], kind="stable")]
             same = hashes[rows[1:], o] == hashes[rows[:-1], o]
             twice = rows[np.append(same, False) | np.append(False, same)]
