@@ -89,3 +89,28 @@ def plan(candidates: DataFrame, tracks: DataFrame, low: float, high: float, targ
 
     rows = tracks.join(candidates.select("track", "cand_id", "t", "score"), "track", "left").select("track", "duration", "cand_id", "t", "score")
     return rows.groupBy("track").applyInPandas(one, "track bigint, ord int, t double, role string")
+
+
+def match_one_to_one(predicted: DataFrame, reference: DataFrame, tolerance: float) -> DataFrame:
+    """track, t, r: predicted cuts in order take the nearest reference not yet used within tolerance; the later one wins ties."""
+
+    def one(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        refs, used, rows = np.sort(theirs["r"].to_numpy()), set(), []
+        for t in np.sort(mine["t"].to_numpy()):
+            near = [i for i in range(*np.searchsorted(refs, [t - tolerance, t + tolerance + 1e-12])) if i not in used]
+            if near:
+                best = min(near, key=lambda i: (abs(refs[i] - t), -i))
+                used.add(best)
+                rows.append((key[0], t, refs[best]))
+        return pd.DataFrame(rows, columns=["track", "t", "r"])
+
+    return predicted.select("track", "t").groupBy("track").cogroup(reference.select("track", "r").groupBy("track")).applyInPandas(one, "track bigint, t double, r double")
+
+
+def snap_to_grid(points: DataFrame, anchors: DataFrame, tolerance: float, least: float) -> DataFrame:
+    """Points moved to their nearest anchor within tolerance, then kept in order if least apart from the last kept one."""
+    from .intervals import nearest
+    from .series import greedy_gap
+
+    moved = nearest(points.select("track", "t"), anchors.select("track", "a"))
+    return greedy_gap(moved.select("track", F.when(F.col("distance") <= tolerance, F.col("nearest_a")).otherwise(F.col("t")).alias("t")), least)

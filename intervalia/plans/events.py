@@ -307,3 +307,65 @@ def sentence_end_candidates(spark, sf_dir):
 def qa_report(spark, sf_dir):
     d = points(spark, sf_dir).select("track", (F.col("t") - F.lag("t").over(Window.partitionBy("track").orderBy("t", "event_id"))).alias("d")).where("d is not null")
     return d.groupBy("track").agg(F.count("*").alias("segments"), F.round(F.median("d"), 6).alias("median_s"), F.round(F.avg(F.when(F.col("d").between(5, 48), 1.0).otherwise(0.0)), 6).alias("pass_rate"), F.round(F.max("d"), 6).alias("longest"))
+
+
+@query()
+def reference_match(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return C.match_one_to_one(_candidates(p).where("source = 'acoustic_pause'"), _clicks(p).select("track", F.col("a").alias("r")), 2.0).select("track", _r("t"), _r("r"))
+
+
+@query()
+def snap_to_beat(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return C.snap_to_grid(_candidates(p).where("source = 'acoustic_pause'"), _clicks(p), 3.0, 6.0).select("track", _r("t"))
+
+
+@query()
+def segment_layout(spark, sf_dir):
+    from ..operators import layout as L
+
+    p = points(spark, sf_dir)
+    best = C.fuse(S.clusters(_candidates(p), 1.0, ["source", "cand_id"]))
+    cuts = C.plan(C.top_per_bucket(best, 3, 24.0), _tracks(p), 12.0, 96.0, (24.0, 72.0))
+    labelled = L.label(L.from_cuts(cuts), p.select("track", "t", "value"), F.col("value") >= 250, 0.5)
+    return L.refine(labelled, 8.0, 20.0, 80.0).select("track", "seg", _r("start"), _r("end"), "kind")
+
+
+@query("""select track, idx - rn as region, min(idx) as first_idx, count(*) as n from (select track, idx, row_number() over (partition by track order by idx) as rn from
+ (select *, quantile_cont(value, 0.6) over (partition by track) as q from p) where value >= q) group by track, idx - rn having count(*) >= 2""")
+def high_energy_regions(spark, sf_dir):
+    high = points(spark, sf_dir).withColumn("q", F.percentile("value", F.lit(0.6)).over(Window.partitionBy("track"))).where("value >= q")
+    region = F.col("idx") - F.row_number().over(Window.partitionBy("track").orderBy("idx"))
+    return high.withColumn("region", region).groupBy("track", "region").agg(F.min("idx").alias("first_idx"), F.count("*").alias("n")).where("n >= 2")
+
+
+@query("""select track, round(sum(value * dt) / sum(dt), 4) as level, round(sum(case when value > 250 then dt else 0 end), 6) as active from
+ (select track, value, lead(t) over (partition by track order by idx) - t as dt from p) where dt is not null group by track""")
+def step_integral(spark, sf_dir):
+    d = points(spark, sf_dir).withColumn("dt", F.lead("t").over(Window.partitionBy("track").orderBy("idx")) - F.col("t")).where("dt is not null")
+    return d.groupBy("track").agg(F.round(F.sum(F.col("value") * F.col("dt")) / F.sum("dt"), 4).alias("level"), F.round(F.sum(F.when(F.col("value") > 250, F.col("dt")).otherwise(0.0)), 6).alias("active"))
+
+
+@query("""select c.cand_id, round(least(1, greatest(0, w / q)), 4) as level from (select a.event_id as cand_id, a.track,
+ avg(b.value) as w from p a join p b on a.track = b.track and abs(a.idx - b.idx) <= 3 group by a.event_id, a.track) c
+ join (select track, quantile_cont(value, 0.99) as q from p group by track) using (track)""")
+def local_level(spark, sf_dir):
+    w = Window.partitionBy("track").orderBy("idx").rowsBetween(-3, 3)
+    top = F.percentile("value", F.lit(0.99)).over(Window.partitionBy("track"))
+    return points(spark, sf_dir).select(F.col("event_id").alias("cand_id"), F.round(clamp(F.avg("value").over(w) / top), 4).alias("level"))
+
+
+@query("""select vec_id, i, round(i - 1 + l / (l - r), 6) as at from (select vec_id, i, embedding[i]::double as l, embedding[i + 1]::double as r from (select vec_id, embedding, unnest(range(1, len(embedding))) as i from embeddings)) where l * r < 0""")
+def zero_crossings(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(F.arrays_zip(F.slice("embedding", F.lit(1), F.size("embedding") - 1).alias("l"), F.slice("embedding", F.lit(2), F.size("embedding") - 1).alias("r"))))
+    left, right = F.col("col.l").cast("double"), F.col("col.r").cast("double")
+    return e.where(left * right < 0).select("vec_id", (F.col("pos") + 1).cast("bigint").alias("i"), F.round(F.col("pos") + left / (left - right), 6).alias("at"))
+
+
+@query("""select track, round(0.5 * avg(value) / max(value) + 0.5 * (1 - least(1, stddev_pop(value) / avg(value))), 6) as blend,
+ case when count(*) / max(t) < 0.08 then 'slow' when count(*) / max(t) < 0.1 then 'medium' else 'fast' end as style from p group by track""")
+def style_estimate(spark, sf_dir):
+    rate = F.count("*") / F.max("t")
+    blend = 0.5 * F.avg("value") / F.max("value") + 0.5 * (1 - F.least(F.lit(1.0), F.stddev_pop("value") / F.avg("value")))
+    return points(spark, sf_dir).groupBy("track").agg(F.round(blend, 6).alias("blend"), F.when(rate < 0.08, "slow").when(rate < 0.1, "medium").otherwise("fast").alias("style"))
