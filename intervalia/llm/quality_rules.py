@@ -114,9 +114,12 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "
         }
     )
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    # The row number is always at least 0; as it isn't deterministic, a filter on kept stays above these projections
+    # instead of repeating all their expressions below them.
+    once = F.monotonically_increasing_id() >= 0
     return (
         counted.withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & F.expr(f"100 * lost_chars <= {rules.max_lost_percent} * line_chars"))
+        .withColumn("kept", ~F.col("base_failed") & F.expr(f"100 * lost_chars <= {rules.max_lost_percent} * line_chars") & once)
         .drop("_words", "_lines")
     )
 
