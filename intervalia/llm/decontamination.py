@@ -6,7 +6,8 @@ length is a plain sum over its words. Two upper bounds of its cosine leave out p
 their class, which loses no candidate: the share of its length on the benchmark's words, and the product over an item's own
 words (those in at most RARE items) plus that of the lengths over the common ones. The randomised SVD of the rest and of the items (a
 subspace iteration whose products are summed by Spark) gives a latent space; items with a latent cosine of MIN_COSINE or more are
-candidates, and a candidate is a leak if the longest common subsequence with the passage and its surroundings covers 80 % of
+candidates. So is every item that shares COVERED_WITH_ANSWER of its words, each as often as both have it, with a passage and its
+surroundings: no longest common subsequence is longer than that, so no leak is lost to the cosine. A candidate is a leak if the longest common subsequence with the passage and its surroundings covers 80 % of
 the item's words, or 60 % with nine tenths of its answer, which is its last sentence.
 
 The benchmark is the stated query set: it is taken in blocks of ITEMS items, so what is broadcast is bounded however
@@ -59,6 +60,63 @@ class Queries:
         self.begin = np.concatenate([[0], np.cumsum(np.where(self.common, 0, n))])
         self.length = np.array([np.sqrt((self.weights[w] ** 2).sum()) for w in self.words])
         self.common_length = np.array([np.sqrt((self.weights[w] ** 2 * self.common[w]).sum()) for w in self.words])
+        self._count_index()
+
+    def _count_index(self) -> None:
+        """For sharing(): least[k] words must be shared with item k. Its most frequent words, up to half of that, are taken as shared,
+        and least_rare[k] of the others must be found; rare_item from rare_begin[w] on are the items that have w among the others."""
+        self.least = np.array([int(np.ceil(COVERED_WITH_ANSWER * len(w) - 1e-9)) for w in self.words], np.int64)
+        self.least_rare = self.least.copy()
+        pairs, self.tf = [], []
+        for k, words in enumerate(self.words):
+            w, n = np.unique(words, return_counts=True)
+            self.tf.append((w, n))
+            order = np.argsort(self.weights[w], kind="stable")
+            free = np.cumsum(n[order]) <= self.least[k] // 2
+            self.least_rare[k] -= n[order][free].sum()
+            pairs += [(x, k) for x in w[order][~free].tolist()]
+        pairs.sort()
+        self.rare_item = np.array([k for _, k in pairs], np.int64)
+        self.rare_begin = np.searchsorted(np.array([x for x, _ in pairs], np.int64), np.arange(len(self.vocabulary) + 1))
+
+    def sharing(self, place: np.ndarray, hits: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows place[lo[i]:hi[i]] (both rising) and items of this class that may have least words in common. hits: where place has a word."""
+        w = place[hits]
+        n = self.rare_begin[w + 1] - self.rare_begin[w]
+        to = self.rare_item[np.repeat(self.rare_begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at = np.repeat(hits, n)
+        own = self.classes[to] == kind
+        to, at = to[own], at[own]
+        order = np.argsort(to, kind="stable")
+        to, at = to[order], at[order]
+        windows, items = [], []
+        edge = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else np.zeros(1, np.int64)
+        for a, b in zip(edge[:-1], edge[1:]):
+            k, some = int(to[a]), at[a:b]
+            need = int(self.least_rare[k])
+            if len(some) < need:
+                continue
+            close = np.flatnonzero(some[need - 1 :] - some[: len(some) - need + 1] < 3 << kind)  # need of its words within one window
+            if not len(close):
+                continue
+            first, last = some[close], some[close + need - 1]
+            i, j = np.searchsorted(hi, last, side="right"), np.searchsorted(lo, first, side="right")  # windows i to j hold them all
+            m = np.maximum(j - i, 0)
+            found = np.unique(np.repeat(i - (np.cumsum(m) - m), m) + np.arange(m.sum()))
+            if len(found):
+                windows.append(found)
+                items.append(np.full(len(found), k))
+        if not windows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        windows, items = np.concatenate(windows), np.concatenate(items)
+        good = np.array([self.shared(k, place[lo[i] : hi[i]]) >= self.least[k] for i, k in zip(windows, items)], bool)
+        return windows[good], items[good]
+
+    def shared(self, k: int, around: np.ndarray) -> int:
+        """Words that item k and these have in common, each as often as both have it."""
+        w, n = self.tf[k]
+        around = np.sort(around)
+        return int(np.minimum(n, np.searchsorted(around, w, side="right") - np.searchsorted(around, w)).sum())
 
     def may_match(self, words: np.ndarray, edge: np.ndarray, kind: int, length: np.ndarray) -> np.ndarray:
         """Whether the second bound allows an item of this class, for passages words[edge[i]:edge[i + 1]] of these lengths."""
@@ -127,7 +185,8 @@ def _queries(rows: list, idf: np.ndarray) -> Queries:
 
 
 def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
-    """doc_id, size class, words of the passage on the vocabulary, and those of its surroundings, where the bound allows a candidate."""
+    """doc_id, size class, words of the passage on the vocabulary, those of its surroundings, and the items that these may cover, where a
+    bound allows a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, weight = queries.value, idf.value
@@ -149,30 +208,34 @@ def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
             whole = np.concatenate([[0.0], np.cumsum(square)])
             on = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, square, 0.0))])
             edge = np.searchsorted(start, offsets)
-            ids, kinds, inner, outer = [], [], [], []
+            ids, kinds, inner, outer, maybes = [], [], [], [], []
             for kind in np.unique(q.classes):
                 size, step = 1 << int(kind), max(1, 1 << int(kind) - 2)
                 n = np.maximum(1, -(-(np.diff(edge) - size) // step) + 1) * (np.diff(edge) > 0)
                 own = np.repeat(np.arange(len(n)), n)
                 first = edge[own] + (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * step
                 last = np.minimum(first + size, edge[own + 1])
+                left, right = np.maximum(edge[own], first - size), np.minimum(edge[own + 1], last + size)
+                windows, items = q.sharing(place, hits, left, right, int(kind))
+                order = np.argsort(windows, kind="stable")
+                windows, items = windows[order], items[order]
                 good = on[last] - on[first] >= MIN_COSINE**2 * (whole[last] - whole[first])
-                own, first, last = own[good], first[good], last[good]
-                a, b = np.searchsorted(hits, first), np.searchsorted(hits, last)
+                good = np.flatnonzero(good)
+                a, b = np.searchsorted(hits, first[good]), np.searchsorted(hits, last[good])
                 inside = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
-                good = q.may_match(place[hits[inside]], np.concatenate([[0], np.cumsum(b - a)]), int(kind), np.sqrt(whole[last] - whole[first]))
-                good &= b > a
-                for i, a, b in zip(own[good], first[good], last[good]):
-                    around = place[max(edge[i], a - size) : min(edge[i + 1], b + size)]
-                    ids.append(i)
+                may = q.may_match(place[hits[inside]], np.concatenate([[0], np.cumsum(b - a)]), int(kind), np.sqrt(whole[last[good]] - whole[first[good]]))
+                for i in np.union1d(good[may & (b > a)], windows):
+                    within, around = place[first[i] : last[i]], place[left[i] : right[i]]
+                    ids.append(own[i])
                     kinds.append(int(kind))
-                    inner.append(place[a:b][place[a:b] >= 0])
+                    inner.append(within[within >= 0])
                     outer.append(around[around >= 0])
+                    maybes.append(items[np.searchsorted(windows, i) : np.searchsorted(windows, i, side="right")])
             if ids:
                 lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), pa.array(kinds, pa.int32()), lists(inner), lists(outer)], names=["doc_id", "kind", "words", "around"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), pa.array(kinds, pa.int32()), lists(inner), lists(outer), lists(maybes)], names=["doc_id", "kind", "words", "around", "maybe"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, kind int, words array<int>, around array<int>")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, kind int, words array<int>, around array<int>, maybe array<int>")
 
 
 def _latent(rows: list[np.ndarray], weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -204,7 +267,7 @@ def latent_basis(passages: DataFrame, q: Queries, shared) -> np.ndarray:
             total, some = np.zeros_like(v), False
             for batch in batches:
                 for lo in range(0, batch.num_rows, 4096):
-                    rows = [np.asarray(w) for w in batch.slice(lo, 4096).column("words").to_pylist()]
+                    rows = [np.asarray(w, np.int64) for w in batch.slice(lo, 4096).column("words").to_pylist()]
                     _back(rows, own.weights, _latent(rows, own.weights, v), total)
                     some = some or bool(rows)
             if some:
@@ -267,10 +330,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
                     kinds, ids = part.column("kind").to_numpy(), part.column("doc_id").to_pylist()
-                    cosine = unit(_latent([np.asarray(w) for w in part.column("words").to_pylist()], own.weights, basis.value)) @ targets.T
-                    around = [np.asarray(w) for w in part.column("around").to_pylist()]
+                    cosine = unit(_latent([np.asarray(w, np.int64) for w in part.column("words").to_pylist()], own.weights, basis.value)) @ targets.T
+                    around = [np.asarray(w, np.int64) for w in part.column("around").to_pylist()]
                     found = []
-                    for i, k in np.argwhere((cosine >= MIN_COSINE) & (kinds[:, None] == own.classes[None, :])):
+                    near = (cosine >= MIN_COSINE) & (kinds[:, None] == own.classes[None, :])
+                    for i, maybe in enumerate(part.column("maybe").to_pylist()):
+                        near[i, maybe] = True
+                    for i, k in np.argwhere(near):
                         covered = common(own.words[k], around[i]) / len(own.words[k])
                         if covered < COVERED_WITH_ANSWER:
                             continue

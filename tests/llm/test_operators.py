@@ -203,3 +203,45 @@ def test_empty_tables(docs):
     assert line_dedup.dedup_lines(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert bpe_codec.encode(none).count() == 0
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(row[j] + 1 if x == y else max(row[j + 1], now[j]))
+        row = now
+    return row[-1]
+
+
+def covering(item, text):
+    """The leak rule on every passage and its surroundings, by brute force."""
+    own, all_words = item.lower().split(), text.lower().split()
+    answer, size = decontamination.answer_of(item).lower().split(), 1 << len(item.split()).bit_length()
+    for k in range(max(1, -(-(len(all_words) - size) // (size // 4)) + 1)):
+        around = all_words[max(0, k * (size // 4) - size) : min(k * (size // 4) + size, len(all_words)) + size]
+        covered = lcs(own, around) / len(own)
+        if covered >= 0.8 or covered >= 0.6 and lcs(answer, around) / len(answer) >= 0.9:
+            return True
+    return False
+
+
+def test_decontamination_recall(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()
+    host = max((r.text for r in docs.collect() if r.text), key=lambda t: len(t.split())).split()
+    rng, rows = random.Random(7), []
+    for i, item in enumerate(items):
+        for share in (0.2, 0.35):
+            own = item.text.split()
+            head = len(own) if share == 0.2 else max(1, len(own) - len(decontamination.answer_of(item.text).split()))
+            for k in rng.sample(range(head), min(head, int(share * len(own)))):
+                own[k] = f"other{rng.randrange(10**6)}"
+            at = rng.randrange(0, max(1, len(host) - 400))
+            around = host[at : at + 300] if i % 4 else ["unknown"] * 300  # some passages have no word of an item, but their surroundings do
+            rows.append((2 * i + (share == 0.2), " ".join(around[:150] + own + around[150:])))
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(made, spark.createDataFrame(items)).collect()}
+    want = {(d, item.item_id) for d, text in rows for item in items[max(0, d // 2 - 1) : d // 2 + 2] if covering(item.text, text)}
+    assert len(want) > len(items) and want <= got
+    assert got == {(d, i) for d, i in got if covering(next(x.text for x in items if x.item_id == i), dict(rows)[d])}
