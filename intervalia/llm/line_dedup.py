@@ -11,7 +11,7 @@ Equal lines collapse to a class before the join. For each class only the closest
 fails, which the map makes rare, all its candidates are. So a group of near copies never becomes all its pairs, and runs of a prefix word over
 LIMIT lines are worked on block by block (runs.py).
 
-Edge cases: lines of under MIN_WORDS different words are never removed, nor count as earlier lines; blank lines stay. A null text is
+Edge cases: sets of under LEAST words resemble equal ones only, which the classes find; blank lines stay. A null text is
 one without lines, and stays null. Rows with a null doc_id come last. Rows equal in doc_id and text are one document and keep the same
 lines; other texts under the same doc_id follow by the text's hash. Words are compared by 64-bit hashes.
 Extra columns pass through.
@@ -33,7 +33,9 @@ from .words import mix, word_hashes
 
 #: The similarity as a fraction, smallest set that is judged, buckets of the rarity table, rows of a run.
 NUM, DEN = 4, 5
-MIN_WORDS = 5
+MIN_WORDS = 1
+#: The least size of a set that a different one can resemble (four words and five share 0.8); smaller ones have no prefix.
+LEAST = 4
 BUCKETS = 1 << 16
 #: Words up to which a line's parity map has 64 bits; a longer line's has LANES times as many.
 NARROW = 48
@@ -111,7 +113,7 @@ def _lines(docs: DataFrame, text: str, rarity: np.ndarray) -> DataFrame:
             cls = mix(np.add.reduceat(mix(words), at[:-1]) + size.astype(np.uint64))
             place = np.arange(len(words)) - at[of]
             kept = size >= MIN_WORDS
-            prefix = np.where(kept, size - (NUM * size + DEN - 1) // DEN + 1, 0)
+            prefix = np.where(size >= LEAST, size - (NUM * size + DEN - 1) // DEN + 1, 0)
             inside = place < prefix[of]
             ends = np.concatenate([[0], np.cumsum(prefix[kept])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((words[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32)))

@@ -245,3 +245,9 @@ def test_decontamination_recall(spark, docs):
     want = {(d, item.item_id) for d, text in rows for item in items[max(0, d // 2 - 1) : d // 2 + 2] if covering(item.text, text)}
     assert len(want) > len(items) and want <= got
     assert got == {(d, i) for d, i in got if covering(next(x.text for x in items if x.item_id == i), dict(rows)[d])}
+
+
+def test_short_lines(spark):
+    rows = [(1, "Les.\na b\nx\n\none two three four"), (2, "Les.\nb a a\ny\n\none two three four five"), (3, "b\nfour three two one\na b c\none two three\nu v w x y"), (4, "u v w x")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "y\n", 3: "b\na b c\none two three\nu v w x y", 4: ""}
