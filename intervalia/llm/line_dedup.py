@@ -7,7 +7,8 @@ lines that are similar meet at a prefix word. Length, place and parity filters d
 of 0.8, and what is left is verified on the words. A line is removed if an earlier one (by doc_id, then place in the text) has a
 similarity of 0.8 or more, be that line removed itself or not.
 
-Equal lines collapse to a class before the join. For each class only the closest earlier one by parity is verified; where that
+Equal lines collapse to a class before the join. The query verifies all pairs of classes that pass the filters and returns each line's
+class id and its number of links. Removal in the pipeline needs one link of a class only: there the closest earlier one by parity is verified; where that
 fails, which the map makes rare, all its candidates are. So a group of near copies never becomes all its pairs, and runs of a prefix word over
 LIMIT lines are worked on block by block (runs.py).
 
@@ -19,7 +20,7 @@ Extra columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,6 +43,8 @@ NARROW = 48
 LANES = 2
 MAP = [f"m{k}" for k in range(LANES)]
 LIMIT = 16_384
+#: The same where all pairs of a run are written, which bounds a task's memory.
+LINK_LIMIT = 4096
 #: Rows of a few numbers each that may be broadcast (about 40 MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -156,19 +159,18 @@ def need(na, nb):
     return (NUM * (na + nb) + NUM + DEN - 1) // (NUM + DEN)
 
 
-def closest(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
-    """For each line of a run the one before it, by order, that passes the filters with the fewest different parities."""
+def passing(columns: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the pairs (earlier line by order, later one) of each run that pass the filters, and their different parities, bit by bit."""
     o, n, pos = columns["o"], columns["at"] >> 32, columns["at"] & 0xFFFFFFFF
     lanes = [columns[m].view(np.uint64) for m in MAP]
     fold = np.bitwise_xor.reduce(lanes)
     begin = np.repeat(bounds[:-1], np.diff(bounds))
-    best, apart = np.full(len(o), -1), np.full(len(o), 64 * LANES + 1)
     at, back = np.arange(len(o)), 0
     while True:
         back += 1
         at = at[at - back >= begin[at]]
         if not len(at):
-            break
+            return
         a = at - back
         most = n[a] + n[at] - 2 * need(n[a], n[at])
         ok = (np.bitwise_count(fold[a] ^ fold[at]) <= most) & (o[a] < o[at])
@@ -177,19 +179,36 @@ def closest(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarr
         a, b, most = a[ok], b[ok], most[ok]
         wide = np.minimum(n[a], n[b]) > NARROW
         parities = np.where(wide, sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in lanes), np.bitwise_count(fold[a] ^ fold[b]))
-        ok = (parities <= most) & (parities < apart[b])
+        ok = parities <= most
+        yield a[ok], b[ok], parities[ok]
+
+
+def closest(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
+    """For each line of a run the one before it, by order, that passes the filters with the fewest different parities."""
+    o = columns["o"]
+    best, apart = np.full(len(o), -1), np.full(len(o), 64 * LANES + 1)
+    for a, b, parities in passing(columns, bounds):
+        ok = parities < apart[b]
         best[b[ok]], apart[b[ok]] = a[ok], parities[ok]
     found = best >= 0
     return [o[found], o[best[found]], apart[found]]
 
 
+def every(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
+    """All pairs of a run that pass the filters."""
+    o, none = columns["o"], np.zeros(0, np.int64)
+    found = [(o[b], o[a]) for a, b, _ in passing(columns, bounds) if len(a)]
+    return [np.concatenate([none, *x]) for x in zip(*found)] or [none, none]
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has at most BROADCAST_ROWS rows; else Spark joins it by sorting."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """doc_id, th and line of every line to remove, with same (an equal set came earlier) and to (the order of a similar earlier class)."""
+def judged_lines(docs: DataFrame, scratch: Scratch, text: str = "text", all_links: bool = False) -> DataFrame:
+    """doc_id, th, line and class (cls, n) of every line with a word, with same (an equal set came earlier), to (the order of a
+    similar earlier class) and, with all_links, links: how many other classes resemble its class."""
     lines = scratch.write(_lines(docs, text, _rarity(docs, text)))
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "th", "line", "doc_id")
     classes = lines.groupBy("cls", "n").agg(F.min(order).alias("x"), *(F.first(c).alias(c) for c in (*MAP, "prefix")))
@@ -197,8 +216,6 @@ def similar_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> Data
     classes = scratch.write(classes.orderBy("x.d", "x.th", "x.line").withColumn("o", F.monotonically_increasing_id()))
     # n and the word's place travel in one number.
     rows = classes.select("o", "n", *MAP, F.posexplode("prefix").alias("pos", "w")).select(F.col("w").cast("bigint").alias("w"), "o", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).alias("at"), *MAP)
-    near = by_runs(rows, ["w"], closest, ["b", "a", "apart"], scratch, LIMIT, order=["o"])
-    pairs = scratch.write(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("b", "x.a"))
 
     def verified(candidates: DataFrame) -> DataFrame:
         ids = candidates.select(F.col("a").alias("o")).union(candidates.select(F.col("b").alias("o"))).distinct()
@@ -208,6 +225,25 @@ def similar_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> Data
         shared = F.size(F.array_intersect("wa", "wb"))
         return scratch.write(both.select("a", "b", (DEN * shared >= NUM * (F.size("wa") + F.size("wb") - shared)).alias("ok")))
 
+    if all_links:
+        near = by_runs(rows, ["w"], every, ["b", "a"], scratch, min(LIMIT, LINK_LIMIT), order=["o"])
+        good = verified(scratch.write(near.distinct())).where("ok").select("a", "b")
+        links = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        to = good.groupBy("b").agg(F.min("a").alias("to"))
+        judged = classes.join(to, classes.o == to.b, "left").join(links, classes.o == links.node, "left").select("cls", "n", "x", "to", F.coalesce("links", F.lit(0)).alias("links"))
+    else:
+        to = _closest_links(rows, verified, scratch).groupBy("b").agg(F.min("a").alias("to"))
+        judged = classes.join(to, classes.o == to.b, "left").select("cls", "n", "x", "to")
+    joined = lines.drop(*MAP, "prefix").join(judged, ["cls", "n"])
+    later = order.cast("struct<d:bigint,th:bigint,line:int,doc_id:bigint>") > F.col("x")
+    return joined.select("doc_id", "th", "line", "cls", later.alias("same"), "to", *(["links"] if all_links else []))
+
+
+def _closest_links(rows: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """a and b: for each class that resembles an earlier one a link to such a class; to the closest if the parity maps tell it."""
+    near = by_runs(rows, ["w"], closest, ["b", "a", "apart"], scratch, LIMIT, order=["o"])
+    pairs = scratch.write(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("b", "x.a"))
+
     first = verified(pairs)
     good = first.where("ok").select("a", "b")
     failed = pairs.join(good.select("b").distinct(), "b", "left_anti").select(F.col("b").alias("o"))
@@ -227,11 +263,12 @@ def similar_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> Data
             .distinct()
         )
         good = good.unionByName(verified(more).where("ok").select("a", "b"))
-    to = good.groupBy("b").agg(F.min("a").alias("to"))
-    judged = classes.join(to, classes.o == to.b, "left").select("cls", "n", "x", "to")
-    joined = lines.drop(*MAP, "prefix").join(judged, ["cls", "n"])
-    later = order.cast("struct<d:bigint,th:bigint,line:int,doc_id:bigint>") > F.col("x")
-    return joined.select("doc_id", "th", "line", later.alias("same"), "to").where(F.col("same") | F.col("to").isNotNull())
+    return good
+
+
+def similar_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
+    """The judged lines to remove."""
+    return judged_lines(docs, scratch, text).where(F.col("same") | F.col("to").isNotNull())
 
 
 def _with_removed(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
@@ -248,12 +285,21 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its lines with a word, and how many go: for an equal set of words earlier, or (n_links) for a similar different one."""
+    """Per document its lines with a word and how many go; classes has each line's class id (a hash of its set of words), the
+    number of other classes that resemble it, be they earlier or later, and whether the line goes. n_links sums these numbers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_links(docs, Scratch(spark, "lines"))
+
+
+def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     slim = docs.select("doc_id", F.xxhash64("text").alias("th"), F.expr(r"cast(coalesce(size(filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')), 0) as bigint)").alias("n_lines"))
-    gone = similar_lines(docs, Scratch(spark, "lines")).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count_distinct("line").alias("n_removed"), F.count_distinct(F.expr("if(to is not null, line, null)")).alias("n_links"))
-    both = slim.join(gone, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return both.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    line = F.struct("line", "cls", "links", (F.col("same") | F.col("to").isNotNull()).alias("removed"))
+    found = judged_lines(docs, scratch, all_links=True).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_set(line)).alias("classes"))
+    both = slim.join(found, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    n_removed = F.expr("cast(coalesce(size(filter(classes, x -> x.removed)), 0) as bigint)")
+    n_links = F.expr("coalesce(aggregate(classes, 0L, (n, x) -> n + x.links), 0L)")
+    none = F.expr("cast(array() as array<struct<line:int,cls:bigint,links:bigint,removed:boolean>>)")
+    return both.select("doc_id", "n_lines", n_removed.alias("n_removed"), n_links.alias("n_links"), F.coalesce("classes", none).alias("classes"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

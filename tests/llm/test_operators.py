@@ -251,3 +251,16 @@ def test_short_lines(spark):
     rows = [(1, "Les.\na b\nx\n\none two three four"), (2, "Les.\nb a a\ny\n\none two three four five"), (3, "b\nfour three two one\na b c\none two three\nu v w x y"), (4, "u v w x")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: rows[0][1], 2: "y\n", 3: "b\na b c\none two three\nu v w x y", 4: ""}
+
+
+def test_line_links(spark, docs):
+    made = [(k, " ".join(["w%d" % j for j in range(12) if j != k])) for k in range(5)] + [(7, "w0 w1 w2 w3\nw0 w1 w2 w3 w4\n\nz"), (8, "z"), (None, None)]
+    for frame, limit in ((spark.createDataFrame(made, "doc_id bigint, text string"), 16_384), (docs, 16_384), (docs, 4)):
+        line_dedup.LIMIT = limit
+        lines = {(r.doc_id, i): frozenset(words(line)) for r in frame.collect() for i, line in enumerate((r.text or "").split("\n")) if words(line)}
+        sets = set(lines.values())
+        want = {key: sum(own != s and 5 * len(own & s) >= 4 * len(own | s) for s in sets) for key, own in lines.items()}
+        rows = line_dedup.line_links(frame, line_dedup.Scratch(spark, "test")).collect()
+        assert {(r.doc_id, x.line): x.links for r in rows for x in r.classes} == want and max(want.values()) > (frame is not docs)
+        assert len({(lines[r.doc_id, x.line], x.cls) for r in rows for x in r.classes}) == len(sets) == len({x.cls for r in rows for x in r.classes})
+        assert all(r.n_links == sum(x.links for x in r.classes) and r.n_removed == sum(x.removed for x in r.classes) for r in rows)
