@@ -185,7 +185,7 @@ def _queries(rows: list, idf: np.ndarray) -> Queries:
 
 
 def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
-    """doc_id, size class, words of the passage on the vocabulary, those of its surroundings, and the items that these may cover, where a
+    """doc_id, th (hash of the text), size class, words of the passage on the vocabulary, those of its surroundings, and the items that these may cover, where a
     bound allows a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +233,9 @@ def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
                     maybes.append(items[np.searchsorted(windows, i) : np.searchsorted(windows, i, side="right")])
             if ids:
                 lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), pa.array(kinds, pa.int32()), lists(inner), lists(outer), lists(maybes)], names=["doc_id", "kind", "words", "around", "maybe"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), batch.column("th").take(pa.array(ids)), pa.array(kinds, pa.int32()), lists(inner), lists(outer), lists(maybes)], names=["doc_id", "th", "kind", "words", "around", "maybe"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, kind int, words array<int>, around array<int>, maybe array<int>")
+    return docs.select("doc_id", text, F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id bigint, th bigint, kind int, words array<int>, around array<int>, maybe array<int>")
 
 
 def _latent(rows: list[np.ndarray], weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -305,12 +305,21 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, cosine (latent), covered (share of the item's words) and answer (share of the answer's) of each leak."""
+    return _best(_leaks(docs, items, text), "doc_id", "item_id")
+
+
+def _best(leaks: DataFrame, *keys: str) -> DataFrame:
+    return leaks.groupBy(*keys).agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"), F.max("answer").alias("answer"))
+
+
+def _leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The same with th, the hash of the document's text, for each passage."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
     total = counts(docs, text)
     idf_table = np.log((total.sum() + 1) / (total + 1)).astype(np.float64) + 1e-6
     idf = spark.sparkContext.broadcast(idf_table)
-    schema = "doc_id bigint, item_id bigint, cosine double, covered double, answer double"
+    schema = "doc_id bigint, th bigint, item_id bigint, cosine double, covered double, answer double"
     n_blocks = -(-items.count() // ITEMS)
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(max(1, n_blocks)))
     out = spark.createDataFrame([], schema)
@@ -329,7 +338,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
-                    kinds, ids = part.column("kind").to_numpy(), part.column("doc_id").to_pylist()
+                    kinds, ids, hashes = part.column("kind").to_numpy(), part.column("doc_id").to_pylist(), part.column("th").to_pylist()
                     cosine = unit(_latent([np.asarray(w, np.int64) for w in part.column("words").to_pylist()], own.weights, basis.value)) @ targets.T
                     around = [np.asarray(w, np.int64) for w in part.column("around").to_pylist()]
                     found = []
@@ -342,13 +351,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
                             continue
                         answer = common(own.answers[k], around[i]) / len(own.answers[k])
                         if covered >= COVERED or answer >= ANSWER_COVERED:
-                            found.append((ids[i], own.ids[k], float(cosine[i, k]), covered, answer))
+                            found.append((ids[i], hashes[i], own.ids[k], float(cosine[i, k]), covered, answer))
                     if found:
-                        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=["doc_id", "item_id", "cosine", "covered", "answer"])
+                        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=["doc_id", "th", "item_id", "cosine", "covered", "answer"])
 
         out = out.unionByName(passages.mapInArrow(run, schema))
-    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"), F.max("answer").alias("answer"))
+    return out
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,5 +366,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leak."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs.doc_id.eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
+    leaks = _leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak"), F.col("th").alias("_th")).distinct()
+    return docs.join(leaks, docs.doc_id.eqNullSafe(F.col("_leak")) & (F.xxhash64(docs.text) == F.col("_th")), "left_anti").select(*docs.columns)

@@ -45,15 +45,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and fp."""
+def fingerprints(docs: DataFrame, text: str = "text", keys: list[str] = []) -> DataFrame:
+    """doc_id, fp and keys, further columns of whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             fps = [fingerprint(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), *(batch.column(k) for k in keys)], names=["doc_id", "fp", *keys])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", text, *keys).mapInArrow(run, ", ".join(f"{c} bigint" for c in ["doc_id", "fp", *keys]))
 
 
 def masks(bits: int = 64, radius: int = RADIUS) -> list[int]:
@@ -84,10 +84,10 @@ def linked(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarra
     return [np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)]
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, and component_id, the smallest doc_id reachable over links."""
+def near_duplicates(docs: DataFrame, text: str = "text", keys: list[str] = []) -> DataFrame:
+    """doc_id, fp, keys, root, and component_id, the smallest doc_id reachable over links."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    each = scratch.write(fingerprints(docs, text))
+    each = scratch.write(fingerprints(docs, text, keys))
     distinct = scratch.write(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     tables = F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks()))))
     buckets = distinct.select(tables.alias("x"), "fp").select("x.t", "x.key", "fp")
@@ -95,7 +95,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     roots = components(forest, scratch)
     rooted = scratch.write(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(rooted.join(names, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
+    return each.join(rooted.join(names, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root", *keys)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; of repeated rows one."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group stays, that with the smallest doc_id (null comes last), then the smallest hash of its text; of
+    rows equal in doc_id and text one."""
+    th = F.xxhash64("text")
+    keyed = docs.select("doc_id", "text", th.alias("th"))
+    found = near_duplicates(keyed, keys=["th"])
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.th").alias("_th"))
+    both = docs.withColumn("_of", th).join(first, (F.col("_of") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_kept")))
+    return both.dropDuplicates(["doc_id", "_of"]).select(*docs.columns)

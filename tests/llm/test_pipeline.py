@@ -17,3 +17,13 @@ def test_stages(spark, tmp_path):
         assert now and now <= ids
         assert set(columns) <= set(docs.columns) if k == 4 else docs.columns == columns
         ids = now
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    texts = [f"{w} one two three {w} four five six {w} seven" for w in ("north", "south", "east")]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[0] + " and more of it " + texts[2]), (None, item), (5, item)], "doc_id bigint, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    assert key(stages["decontamination"](spark, docs, SF)) == key(docs.where(docs.text != item))
+    assert key(stages["simhash"](spark, docs, SF)) == key(docs.where("text != '%s' or doc_id = 5" % item).distinct())
