@@ -11,8 +11,8 @@ surroundings: no longest common subsequence is longer than that, so no leak is l
 the item's words, or 60 % with nine tenths of its answer, which is its last sentence.
 
 The benchmark is the stated query set: it is taken in blocks of ITEMS items, so what is broadcast is bounded however
-large it grows. Edge cases: null and empty texts, and items without words, match nothing. Items of under MIN_WORDS words match nothing
-either, as they'd be found in clean text. Repeated rows are judged one by one. Extra columns are left out of the result, except in stage().
+large it grows. Edge cases: null and empty texts, and items without words, match nothing. Items of under MIN_WORDS words (class 0) match
+their words in a row only. Longer ones are compared whole, however long. Items without an id are judged like others, and found as null. Repeated rows are judged one by one. Extra columns are left out of the result, except in stage().
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, table, utf8
 from .words import word_hashes
 
-ITEMS, MAX_ITEM_WORDS, MIN_WORDS = 1024, 1024, 8
+ITEMS, MIN_WORDS = 1024, 8
 BUCKETS = 1 << 16
 MIN_COSINE, RANK, ROUNDS = 0.6, 64, 2
 RARE = 8
@@ -173,15 +173,15 @@ def answer_of(text: str) -> str:
 def _queries(rows: list, idf: np.ndarray) -> Queries:
     ids, words, answers = [], [], []
     for row in rows:
-        own = _hashes(row.text or "")[:MAX_ITEM_WORDS] if row.item_id is not None else np.zeros(0, np.uint64)
-        if len(own) >= MIN_WORDS:
+        own = _hashes(row.text or "")
+        if len(own):
             ids.append(row.item_id)
             words.append(own)
             answers.append(_hashes(answer_of(row.text)))
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words, *answers]))
     place = lambda lists: [np.searchsorted(vocabulary, w) for w in lists]
     weights = idf[(vocabulary % np.uint64(BUCKETS)).astype(np.int64)]
-    return Queries(ids, place(words), place(answers), np.array([len(w).bit_length() for w in words], np.int64), vocabulary, weights)
+    return Queries(ids, place(words), place(answers), np.array([len(w).bit_length() if len(w) >= MIN_WORDS else 0 for w in words], np.int64), vocabulary, weights)
 
 
 def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
@@ -208,8 +208,23 @@ def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
             whole = np.concatenate([[0.0], np.cumsum(square)])
             on = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, square, 0.0))])
             edge = np.searchsorted(start, offsets)
+            order_of = np.argsort(place[hits], kind="stable")
+            by_word = place[hits][order_of]
             ids, kinds, inner, outer, maybes = [], [], [], [], []
-            for kind in np.unique(q.classes):
+            for k in np.flatnonzero(q.classes == 0):
+                item = q.words[k]
+                at = hits[order_of[np.searchsorted(by_word, item[0]) : np.searchsorted(by_word, item[0], side="right")]]
+                for d, x in enumerate(item[1:].tolist(), 1):
+                    at = at[at + d < len(place)]
+                    at = at[place[at + d] == x]
+                doc = np.searchsorted(edge, at, side="right") - 1
+                for i in np.unique(doc[at + len(item) <= edge[doc + 1]]):
+                    ids.append(i)
+                    kinds.append(0)
+                    inner.append(item)
+                    outer.append(item)
+                    maybes.append(np.array([k]))
+            for kind in np.unique(q.classes[q.classes > 0]):
                 size, step = 1 << int(kind), max(1, 1 << int(kind) - 2)
                 n = np.maximum(1, -(-(np.diff(edge) - size) // step) + 1) * (np.diff(edge) > 0)
                 own = np.repeat(np.arange(len(n)), n)
@@ -342,7 +357,7 @@ def _leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
                     cosine = unit(_latent([np.asarray(w, np.int64) for w in part.column("words").to_pylist()], own.weights, basis.value)) @ targets.T
                     around = [np.asarray(w, np.int64) for w in part.column("around").to_pylist()]
                     found = []
-                    near = (cosine >= MIN_COSINE) & (kinds[:, None] == own.classes[None, :])
+                    near = (cosine >= MIN_COSINE) & (kinds[:, None] == own.classes[None, :]) & (kinds[:, None] > 0)
                     for i, maybe in enumerate(part.column("maybe").to_pylist()):
                         near[i, maybe] = True
                     for i, k in np.argwhere(near):

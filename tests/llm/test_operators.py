@@ -264,3 +264,14 @@ def test_line_links(spark, docs):
         assert {(r.doc_id, x.line): x.links for r in rows for x in r.classes} == want and max(want.values()) > (frame is not docs)
         assert len({(lines[r.doc_id, x.line], x.cls) for r in rows for x in r.classes}) == len(sets) == len({x.cls for r in rows for x in r.classes})
         assert all(r.n_links == sum(x.links for x in r.classes) and r.n_removed == sum(x.removed for x in r.classes) for r in rows)
+
+
+def test_decontamination_long_short_and_nameless_items(spark):
+    rng = random.Random(11)
+    made = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    long, nameless, filler = made(2480) + ". " + made(20), made(20), made(300)
+    items = spark.createDataFrame([(1, long), (2, "zebra yak xerus"), (None, nameless), (4, "lone")], "item_id bigint, text string")
+    first, rest = " ".join(long.split()[:1100]), " ".join(long.split()[900:])
+    rows = [(1, f"{filler} {long} {filler}"), (2, first), (3, f"{filler} {rest}"), (4, f"{filler} zebra yak  XERUS {filler}"), (5, "zebra yak and xerus"), (6, "zebra yak"), (7, "xerus"), (8, f"x {nameless}"), (9, "yak lone")]
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+    assert got == {(1, 1), (3, 1), (4, 2), (8, None), (9, 4)}
