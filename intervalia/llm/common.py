@@ -43,9 +43,15 @@ class Scratch:
         self._n = 0
         atexit.register(self._clear)
 
-    def write(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
+    def path(self) -> str:
         self._n += 1
-        path = f"{self.base}/{self._n}"
+        return f"{self.base}/{self._n}"
+
+    def remove(self, path: str) -> None:
+        remove(self.spark, path)
+
+    def write(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
+        path = self.path()
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
