@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 
-#: Entries at which a worker's memo tables are emptied; it bounds memory, not results.
-MEMO = 400_000
+import ahocorasick
+
+#: Entries at which a worker's memo of pairs is emptied; it bounds memory, not results.
+MEMO = 1_000_000
 NEVER = 1 << 60
 
 
@@ -48,6 +51,7 @@ class Bpe:
         self.longest = max(map(len, ids))
         self.prefixes = {t[:k] for t in ids for k in range(1, len(t))}
         self._valid: dict[tuple[bytes, bytes], bool] = {}
+        self._automaton: ahocorasick.Automaton | None = None
         self._halves: dict[bytes, tuple[bytes, bytes, int]] = {}
         self._whole: dict[bytes, bool] = {}
 
@@ -95,13 +99,11 @@ class Bpe:
         Takes back the merges on both sides of the border, latest first. The pair is wrong if, among the parts that
         ever touch at the border, two would have merged before the later of them was made into something larger.
         """
-        if not left:
-            return self.whole(right)
         key = (left, right)
         if (known := self._valid.get(key)) is None:
             if len(self._valid) > MEMO:
                 self._valid.clear()
-            known = self._valid[key] = self.whole(right) and self._apart(left, right)
+            known = self._valid[key] = self.whole(right) and (not left or self._apart(left, right))
         return known
 
     def _apart(self, a: bytes, b: bytes) -> bool:
@@ -121,16 +123,32 @@ class Bpe:
             else:
                 b, before, inclusive = b_start, b_rank, True
 
-    def last_token(self, piece: bytes, end: int, last: list[bytes]) -> bytes:
-        """The token that ends piece[:end], given those of all shorter prefixes (last[0] is empty)."""
-        ids, valid = self.ids, self._valid
-        for start in range(max(0, end - self.longest), end):
-            token = piece[start:end]
-            if token in ids:
-                known = valid.get((last[start], token))
-                if known or known is None and self.valid(last[start], token):
-                    return token
-        raise ValueError("the vocabulary lacks a single byte")
+    @property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds the tokens that end at each byte, the longest first."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for token in self.ids:
+                self._automaton.add_word(token.decode("latin-1"), token)
+            self._automaton.make_automaton()
+        return self._automaton
+
+    def walk(self, piece: bytes, last: list[bytes]) -> Iterator[int]:
+        """Appends to last (of all shorter prefixes; last[0] is empty) the token that ends each further prefix; yields its end."""
+        done, valid = len(last), self._valid
+        low = max(0, done - self.longest)
+        for end, token in self.automaton.iter(piece[low:].decode("latin-1")):
+            end += low + 1
+            if end < done:
+                continue
+            if end > done:
+                raise ValueError("the vocabulary lacks a single byte")
+            before = last[end - len(token)]
+            known = valid.get((before, token))
+            if known or known is None and self.valid(before, token):
+                last.append(token)
+                done += 1
+                yield end
 
 
 class Prefixes:
@@ -141,17 +159,16 @@ class Prefixes:
         self.append(piece)
 
     def append(self, more: bytes) -> None:
-        start, self.piece = len(self.piece), self.piece + more
-        for end in range(start + 1, len(self.piece) + 1):
-            self.last.append(self.bpe.last_token(self.piece, end, self.last))
+        self.piece += more
+        for _ in self.bpe.walk(self.piece, self.last):
+            pass
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replaces piece[start:stop]; returns how many prefixes were encoded anew."""
         old, shift = self.last, start + len(new) - stop
         self.piece = self.piece[:start] + new + self.piece[stop:]
         self.last, same = old[: start + 1], 0
-        for end in range(start + 1, len(self.piece) + 1):
-            self.last.append(self.bpe.last_token(self.piece, end, self.last))
+        for end in self.bpe.walk(self.piece, self.last):
             same = same + 1 if end > start + len(new) and self.last[end] == old[end - shift] else 0
             if same > self.bpe.longest:  # each later value depends only on so many before it
                 self.last += old[end - shift + 1 :]

@@ -2,7 +2,7 @@
 
 Texts are cut by the public pattern; each piece is encoded separately, a piece that is itself a token as that token.
 The job is one map over rows: no shuffle, the vocabulary file (its size is fixed by the tokenizer) goes to the tasks as a
-broadcast, and a worker's memo of pieces is emptied at a fixed size.
+broadcast, and of a worker's memo of pieces the older half goes at a fixed size.
 
 Edge cases: a null or empty text has no tokens, and both digests are those of empty input. Repeated rows are encoded
 one by one. Extra columns pass through; ids and n_tokens replace input columns of the same name.
@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import MEMO, Bpe, Prefixes, tiktoken_ranks
+from .bpe import Bpe, Prefixes, tiktoken_ranks
 from .common import slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Pieces in each of the two halves of a worker's memo; the older half goes when the newer one is full.
+MEMO = 300_000
 
 
 def vocabulary_file(name: str = VOCABULARY) -> str:
@@ -36,31 +38,39 @@ class Codec:
     def __init__(self, raw: bytes, pattern: str):
         self.bpe = Bpe(tiktoken_ranks(raw))
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, str] = {}
-        self.bytes_of = {str(i): t for t, i in self.bpe.ids.items()}
-
-    def piece(self, piece: str) -> str:
-        raw = piece.encode()
-        ids = [self.bpe.ids[raw]] if raw in self.bpe.ids else Prefixes(self.bpe, raw).ids()
-        return ",".join(map(str, ids))
-
-    def encode(self, text: str) -> str:
-        """Decimal ids joined by commas."""
+        self.pieces: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+        self.bytes_of = {i: t for t, i in self.bpe.ids.items()}
+
+    def piece(self, piece: str) -> tuple[str, bytes]:
+        """Decimal ids joined by commas, and the bytes that these ids decode to."""
+        if (known := self.older.get(piece)) is None:
+            raw = piece.encode()
+            ids = [self.bpe.ids[raw]] if raw in self.bpe.ids else Prefixes(self.bpe, raw).ids()
+            known = ",".join(map(str, ids)), self.decode(ids)
+        return known
+
+    def code(self, text: str) -> tuple[str, bytes]:
+        """The same of a whole text."""
         known = self.pieces
         pieces = self.pattern.findall(text)
         try:
-            return ",".join([known[p] for p in pieces])
+            parts = [known[p] for p in pieces]
         except KeyError:
+            parts = []
             for p in pieces:
-                if p not in known:
-                    if len(known) > MEMO:
-                        known.clear()
-                    known[p] = self.piece(p)
-            return ",".join([known[p] if p in known else self.piece(p) for p in pieces])
-
-    def decode(self, ids: str) -> bytes:
+                if (part := known.get(p)) is None:
+                    part = self.piece(p)
+                    if len(known) >= MEMO:
+                        self.older, self.pieces = known, {}
+                        known = self.pieces
+                    known[p] = part
+                parts.append(part)
+        return ",".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
+
+    def decode(self, ids: list[int]) -> bytes:
         of = self.bytes_of
-        return b"".join([of[i] for i in ids.split(",")]) if ids else b""
+        return b"".join([of[i] for i in ids])
 
 
 @functools.lru_cache(maxsize=2)
@@ -92,10 +102,10 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, d
         c = codec(raw.value, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in slices(batches, text):
-            ids = [c.encode(t or "") for t in batch.column(text).to_pylist()]
+            ids, decoded = zip(*(c.code(t or "") for t in batch.column(text).to_pylist()))
             columns = [*batch.columns, pa.array([i.count(",") + 1 if i else 0 for i in ids], pa.int64())]
             if digests:
-                columns += [pa.array([sha(i.encode()) for i in ids], pa.string()), pa.array([sha(c.decode(i)) for i in ids], pa.string())]
+                columns += [pa.array([sha(i.encode()) for i in ids], pa.string()), pa.array([sha(d) for d in decoded], pa.string())]
             else:
                 columns.append(pa.array([list(map(int, i.split(","))) if i else [] for i in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f.name for f in new)])
@@ -112,7 +122,7 @@ def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(raw.value, pattern)
         for batch in batches:
-            out = [None if x is None else c.decode(",".join(map(str, x))) for x in batch.column(ids).to_pylist()]
+            out = [None if x is None else c.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return keep.mapInArrow(run, schema)
