@@ -2,30 +2,30 @@
 
 A line is the set of its words. Words are ordered by rarity (their bucket's count over all documents, then their hash; any
 fixed order gives the same result, a rare one is fast). A line sends the first n - ceil(0.8 n) + 1 words, its prefix, with its
-size, their places and a parity map of the whole set (128 bits, or folded to 64 for lines of up to NARROW words, where that is enough);
-lines that are similar meet at a prefix word. Length, place and parity filters drop pairs that cannot reach a Jaccard similarity
-of 0.8, and what is left is verified on the words. A line is removed if an earlier one (by doc_id, then place in the text) has a
+size, their places, the word before each and a parity map of the whole set (128 bits, or folded to 64 for lines of up to NARROW words, where that is
+enough); lines that are similar meet at a prefix word. Length, place and parity filters drop pairs that cannot reach a Jaccard similarity
+of 0.8, and pairs with the same word before this one, which meet there too. What is left isn't written as pairs: a line that has any
+partner at a word goes on to the second step, with its words, once for that word. There each pair is verified, at the first
+place in the order at which it meets, and each line gets the number of its links and its earliest partner. So the work tables grow with the
+lines, though a group of near copies has as many links as pairs. A line is removed if an earlier one (by doc_id, then place in the text) has a
 similarity of 0.8 or more, be that line removed itself or not.
 
-Equal lines collapse to a class before the join. The query verifies all pairs of classes that pass the filters and returns each line's
-class id and its number of links. Removal in the pipeline needs one link of a class only: there the closest earlier one by parity is verified; where that
-fails, which the map makes rare, all its candidates are. So a group of near copies never becomes all its pairs, and runs of a prefix word over
-LIMIT lines are worked on block by block (runs.py).
+Equal lines collapse to a class before the join. Runs of a prefix word over LIMIT lines are worked on block by block (runs.py), and so
+are those of the second step.
 
 Edge cases: sets of under LEAST words resemble equal ones only, which the classes find; blank lines stay. A null text is
 one without lines, and stays null. Rows with a null doc_id come last. Rows equal in doc_id and text are one document and keep the same
-lines; other texts under the same doc_id follow by the text's hash. Words are compared by 64-bit hashes.
-Extra columns pass through.
+lines; other texts under the same doc_id follow by the text's hash. Words are compared by 64-bit hashes, sets by those and their parity maps.
+Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, table, utf8
@@ -38,12 +38,14 @@ MIN_WORDS = 1
 #: The least size of a set that a different one can resemble (four words and five share 0.8); smaller ones have no prefix.
 LEAST = 4
 BUCKETS = 1 << 16
+#: Stands for the word before a line's first one.
+NONE = -(1 << 40)
 #: Words up to which a line's parity map has 64 bits; a longer line's has LANES times as many.
 NARROW = 48
 LANES = 2
 MAP = [f"m{k}" for k in range(LANES)]
 LIMIT = 16_384
-#: The same where all pairs of a run are written, which bounds a task's memory.
+#: The same where lines come with their words.
 LINK_LIMIT = 4096
 #: Rows of a few numbers each that may be broadcast (about 40 MB).
 BROADCAST_ROWS = 1_000_000
@@ -129,8 +131,9 @@ def _lines(docs: DataFrame, text: str, rarity: np.ndarray) -> DataFrame:
     return _keyed(docs, text).mapInArrow(run, f"doc_id bigint, th bigint, line int, n int, cls bigint, {', '.join(f'{m} bigint' for m in MAP)}, prefix array<int>")
 
 
-def _words_of(docs: DataFrame, text: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """o and words of the wanted lines (doc_id, th, line, o)."""
+def _words_of(docs: DataFrame, text: str, rarity: np.ndarray, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """o and words, in order, of the wanted lines (doc_id, th, line, o)."""
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
     lists = scratch.write(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "o")).alias("want")))  # lines of one document
     d = _keyed(docs, text)
     few = lists.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0] <= BROADCAST_ROWS
@@ -139,7 +142,7 @@ def _words_of(docs: DataFrame, text: str, wanted: DataFrame, scratch: Scratch) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            own, line, at, words = line_sets(*utf8(batch.column("text")), np.zeros(BUCKETS, np.uint64))
+            own, line, at, words = line_sets(*utf8(batch.column("text")), shared.value)
             known = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(own, line))}
             orders, parts = [], []
             for i, want in enumerate(batch.column("want").to_pylist()):
@@ -159,129 +162,173 @@ def need(na, nb):
     return (NUM * (na + nb) + NUM + DEN - 1) // (NUM + DEN)
 
 
-def passing(columns: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places of the pairs (earlier line by order, later one) of each run that pass the filters, and their different parities, bit by bit."""
-    o, n, pos = columns["o"], columns["at"] >> 32, columns["at"] & 0xFFFFFFFF
+def meeting(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
+    """The lines of each run that may resemble another one of it, unless they meet at the word before as well."""
+    o, n, pos, before = columns["o"], columns["at"] >> 32, columns["at"] & 0xFFFFFFFF, columns["before"]
     lanes = [columns[m].view(np.uint64) for m in MAP]
     fold = np.bitwise_xor.reduce(lanes)
     begin = np.repeat(bounds[:-1], np.diff(bounds))
+    meets = np.zeros(len(o), bool)
     at, back = np.arange(len(o)), 0
     while True:
         back += 1
         at = at[at - back >= begin[at]]
         if not len(at):
-            return
+            return [columns["w"][meets], o[meets]]
         a = at - back
         most = n[a] + n[at] - 2 * need(n[a], n[at])
-        ok = (np.bitwise_count(fold[a] ^ fold[at]) <= most) & (o[a] < o[at])
+        ok = (np.bitwise_count(fold[a] ^ fold[at]) <= most) & ((before[a] != before[at]) | (before[a] == NONE)) & (o[a] != o[at])
         a, b, most = a[ok], at[ok], most[ok]
         ok = (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need(n[a], n[b]))
         a, b, most = a[ok], b[ok], most[ok]
-        wide = np.minimum(n[a], n[b]) > NARROW
-        parities = np.where(wide, sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in lanes), np.bitwise_count(fold[a] ^ fold[b]))
-        ok = parities <= most
-        yield a[ok], b[ok], parities[ok]
-
-
-def closest(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
-    """For each line of a run the one before it, by order, that passes the filters with the fewest different parities."""
-    o = columns["o"]
-    best, apart = np.full(len(o), -1), np.full(len(o), 64 * LANES + 1)
-    for a, b, parities in passing(columns, bounds):
-        ok = parities < apart[b]
-        best[b[ok]], apart[b[ok]] = a[ok], parities[ok]
-    found = best >= 0
-    return [o[found], o[best[found]], apart[found]]
-
-
-def every(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
-    """All pairs of a run that pass the filters."""
-    o, none = columns["o"], np.zeros(0, np.int64)
-    found = [(o[b], o[a]) for a, b, _ in passing(columns, bounds) if len(a)]
-    return [np.concatenate([none, *x]) for x in zip(*found)] or [none, none]
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most BROADCAST_ROWS rows; else Spark joins it by sorting."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def judged_lines(docs: DataFrame, scratch: Scratch, text: str = "text", all_links: bool = False) -> DataFrame:
-    """doc_id, th, line and class (cls, n) of every line with a word, with same (an equal set came earlier), to (the order of a
-    similar earlier class) and, with all_links, links: how many other classes resemble its class."""
-    lines = scratch.write(_lines(docs, text, _rarity(docs, text)))
+        narrow = np.minimum(n[a], n[b]) <= NARROW
+        ok = narrow | (sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in lanes) <= most)
+        meets[a[ok]] = True
+        meets[b[ok]] = True
+
+
+def _short(words: np.ndarray) -> np.ndarray:
+    """The 32 bits of a word by which lines meet."""
+    return (words >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)
+
+
+class Group:
+    """Whole groups of lines that meet at a word w; verifies their pairs."""
+
+    def __init__(self, x: pa.Table):
+        self.o, self.i, self.j, self.own, w = (x[c].to_numpy() for c in ("o", "i", "j", "own", "w"))
+        lists = x["words"].combine_chunks()
+        self.start = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.to_numpy().view(np.uint64)[self.start[0] : self.start[-1]]
+        self.start = self.start - self.start[0]
+        self.n = np.diff(self.start)
+        short = _short(words)
+        row = np.repeat(np.arange(len(w)), self.n)
+        first = np.flatnonzero(short == w[row])
+        self.pos = np.zeros(len(w), np.int64)
+        self.pos[row[first[::-1]]] = (first - self.start[row[first]])[::-1]
+        known, self.word = np.unique(words, return_inverse=True)
+        known32, self.short = np.unique(short, return_inverse=True)
+        self.prefix = self.n - (NUM * self.n + DEN - 1) // DEN + 1
+        self.marks, self.early = np.zeros(len(known), np.int32), np.zeros(len(known32), bool)
+        key = np.stack([w, self.i, self.j])
+        self.bounds = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(w)]])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each line its number of links and the least partner before it (by order), or -1."""
+        links, to = np.zeros(len(self.o), np.int64), np.full(len(self.o), -1)
+        for lo, hi in zip(self.bounds[:-1], self.bounds[1:]):
+            for a in range(lo, hi - 1):
+                b = self._partners(a, hi)
+                if len(b):
+                    links[a] += len(b)
+                    links[b] += 1
+                    to[b] = np.where((to[b] < 0) | (to[b] > self.o[a]), self.o[a], to[b])
+        return links, to
+
+    def _partners(self, a: int, hi: int) -> np.ndarray:
+        own = self.word[self.start[a] : self.start[a + 1]]
+        self.marks[own] = 1
+        rest = self.start[a + 1 : hi]
+        shared = np.add.reduceat(self.marks[self.word[rest[0] : self.start[hi]]], rest - rest[0])
+        self.marks[own] = 0
+        n_a, pos, n = self.n[a], self.pos[a], self.n[a + 1 : hi]
+        least = need(n_a, n)
+        # Similar, met at this word, and of different blocks if those of two blocks are compared.
+        ok = (shared >= least) & (np.minimum(n_a - pos, n - self.pos[a + 1 : hi]) >= least)
+        if self.i[a] != self.j[a]:
+            ok &= self.own[a + 1 : hi] != self.own[a]
+        b = a + 1 + np.flatnonzero(ok)
+        if not len(b) or not pos:
+            return b
+        # Not if they have met before: at an earlier word of a that is in b's prefix, and at a place where the filters let it pass.
+        head = self.short[self.start[a] : self.start[a] + pos]
+        self.early[head] = True
+        size = self.prefix[b]
+        edge = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(edge, size)
+        met = self.early[self.short[np.repeat(self.start[b], size) + place]] & (place <= np.repeat(self.n[b] - need(n_a, self.n[b]), size))
+        self.early[head] = False
+        return b[~np.logical_or.reduceat(met, edge)]
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines sorted by group (w, i, j) and order: o, links and to of those that have a link."""
+
+    def judged(x: pa.Table) -> pa.RecordBatch:
+        group = Group(x)
+        links, to = group.links()
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(group.o[some]), pa.array(links[some]), pa.array(to[some], mask=to[some] < 0)], names=["o", "links", "to"])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 2 * LINK_LIMIT:
+            x = pa.Table.from_batches(held).combine_chunks()
+            w, i, j = (x[c].to_numpy() for c in ("w", "i", "j"))
+            last = np.flatnonzero((w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            if len(last):
+                cut = int(last[-1]) + 1
+                yield judged(x.slice(0, cut))
+                held, rows = x.slice(cut).to_batches(), x.num_rows - cut
+            else:
+                held = x.to_batches()
+    if rows:
+        yield judged(pa.Table.from_batches(held).combine_chunks())
+
+
+def judged_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
+    """doc_id, th, line and class (cls) of every line with a word, with same (an equal set came earlier), to (the order of the earliest
+    similar class before its own) and links: how many other classes resemble its class."""
+    rarity = _rarity(docs, text)
+    lines = scratch.write(_lines(docs, text, rarity))
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "th", "line", "doc_id")
-    classes = lines.groupBy("cls", "n").agg(F.min(order).alias("x"), *(F.first(c).alias(c) for c in (*MAP, "prefix")))
+    cls = ["cls", "n", *MAP]
+    classes = lines.groupBy(*cls).agg(F.min(order).alias("x"), F.first("prefix").alias("prefix"))
     # The id rises with the order, as sorting deals out ranges.
     classes = scratch.write(classes.orderBy("x.d", "x.th", "x.line").withColumn("o", F.monotonically_increasing_id()))
     # n and the word's place travel in one number.
-    rows = classes.select("o", "n", *MAP, F.posexplode("prefix").alias("pos", "w")).select(F.col("w").cast("bigint").alias("w"), "o", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).alias("at"), *MAP)
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        ids = candidates.select(F.col("a").alias("o")).union(candidates.select(F.col("b").alias("o"))).distinct()
-        wanted = classes.select("o", "x").join(ids, "o").select(F.col("x.doc_id").alias("doc_id"), F.col("x.th").alias("th"), F.col("x.line").alias("line"), "o")
-        words = scratch.write(_words_of(docs, text, wanted, scratch))
-        both = candidates.join(words.select(F.col("o").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("o").alias("b"), F.col("words").alias("wb")), "b")
-        shared = F.size(F.array_intersect("wa", "wb"))
-        return scratch.write(both.select("a", "b", (DEN * shared >= NUM * (F.size("wa") + F.size("wb") - shared)).alias("ok")))
-
-    if all_links:
-        near = by_runs(rows, ["w"], every, ["b", "a"], scratch, min(LIMIT, LINK_LIMIT), order=["o"])
-        good = verified(scratch.write(near.distinct())).where("ok").select("a", "b")
-        links = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        to = good.groupBy("b").agg(F.min("a").alias("to"))
-        judged = classes.join(to, classes.o == to.b, "left").join(links, classes.o == links.node, "left").select("cls", "n", "x", "to", F.coalesce("links", F.lit(0)).alias("links"))
-    else:
-        to = _closest_links(rows, verified, scratch).groupBy("b").agg(F.min("a").alias("to"))
-        judged = classes.join(to, classes.o == to.b, "left").select("cls", "n", "x", "to")
-    joined = lines.drop(*MAP, "prefix").join(judged, ["cls", "n"])
+    w = F.col("w").cast("bigint")
+    before = F.when(F.col("pos") > 0, F.expr("element_at(prefix, if(pos > 0, pos, 1))").cast("bigint")).otherwise(NONE)
+    rows = classes.select("o", "n", "prefix", *MAP, F.posexplode("prefix").alias("pos", "w")).select(w.alias("w"), "o", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).alias("at"), before.alias("before"), *MAP)
+    meets = by_runs(rows, ["w"], meeting, ["w", "o"], scratch, LIMIT)
+    linked = _linked(docs, text, rarity, classes.select("o", "x"), scratch.write(meets.distinct()), scratch)
+    judged = classes.join(linked, "o", "left").select(*cls, "x", "to", F.coalesce("links", F.lit(0)).alias("links"))
+    joined = lines.drop("prefix").join(judged, cls)
     later = order.cast("struct<d:bigint,th:bigint,line:int,doc_id:bigint>") > F.col("x")
-    return joined.select("doc_id", "th", "line", "cls", later.alias("same"), "to", *(["links"] if all_links else []))
-
-
-def _closest_links(rows: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """a and b: for each class that resembles an earlier one a link to such a class; to the closest if the parity maps tell it."""
-    near = by_runs(rows, ["w"], closest, ["b", "a", "apart"], scratch, LIMIT, order=["o"])
-    pairs = scratch.write(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("b", "x.a"))
-
-    first = verified(pairs)
-    good = first.where("ok").select("a", "b")
-    failed = pairs.join(good.select("b").distinct(), "b", "left_anti").select(F.col("b").alias("o"))
-    if not failed.isEmpty():
-        sized = rows.select("w", "o", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(2**32 - 1).alias("pos"), *MAP)
-        own = sized.join(_small(failed), "o", "left_semi").select("w", *(F.col(c).alias(f"{c}_b") for c in ("o", "n", "pos", *MAP)))
-        own = _small(scratch.write(own))
-        least = F.expr(f"({NUM} * (n + n_b) + {NUM + DEN - 1}) div {NUM + DEN}")
-        lanes = [F.col(m).bitwiseXOR(F.col(f"{m}_b")) for m in MAP]
-        apart = F.when(F.least("n", "n_b") > NARROW, sum((F.bit_count(x) for x in lanes), F.lit(0))).otherwise(F.bit_count(reduce(Column.bitwiseXOR, lanes)))
-        more = (
-            own.join(sized, "w")
-            .where(F.col("o") < F.col("o_b"))
-            .where((DEN * F.least("n", "n_b") >= NUM * F.greatest("n", "n_b")) & (F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= least))
-            .where(apart <= F.col("n") + F.col("n_b") - 2 * least)
-            .select(F.col("o").alias("a"), F.col("o_b").alias("b"))
-            .distinct()
-        )
-        good = good.unionByName(verified(more).where("ok").select("a", "b"))
-    return good
-
-
-def similar_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """The judged lines to remove."""
-    return judged_lines(docs, scratch, text).where(F.col("same") | F.col("to").isNotNull())
-
-
-def _with_removed(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
-    """docs with _removed, the lines to remove (null: none), and _links, those of them that an earlier different set resembles."""
-    gone = similar_lines(docs, scratch, text).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_distinct(F.collect_list("line")).alias("_removed"), F.count_distinct(F.expr("if(to is not null, line, null)")).alias("_links"))
-    return docs.withColumn("_of", F.xxhash64(text)).join(gone, (F.col("_of") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_th", "_of")
+    return joined.select("doc_id", "th", "line", "cls", later.alias("same"), "to", "links")
+
+
+def _linked(docs: DataFrame, text: str, rarity: np.ndarray, classes: DataFrame, meets: DataFrame, scratch: Scratch) -> DataFrame:
+    """o, links and to of the classes that have a link; meets tells which class (o) meets others at which word (w)."""
+    wanted = classes.join(meets.select("o").distinct(), "o").select(F.col("x.doc_id").alias("doc_id"), F.col("x.th").alias("th"), F.col("x.line").alias("line"), "o")
+    words = scratch.write(_words_of(docs, text, rarity, wanted, scratch)).dropDuplicates(["o"])
+    zero = F.lit(0).cast("bigint")
+    hot = scratch.write(meets.groupBy("w").agg(F.ceil(F.count("*") / LINK_LIMIT).cast("bigint").alias("blocks")).where("blocks > 1"))
+    if hot.isEmpty():
+        dealt = meets.withColumns({"own": zero, "i": zero, "j": zero})
+    else:
+        own = F.pmod(F.xxhash64("o"), F.coalesce("blocks", F.lit(1)))
+        other = F.explode(F.sequence(zero, F.coalesce("blocks", F.lit(1)) - 1))
+        dealt = meets.join(hot, "w", "left").withColumn("own", own).withColumn("other", other).select("w", "o", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    both = dealt.join(words, "o").select("w", "i", "j", "own", "o", "words")
+    found = both.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j", "o").mapInArrow(_verify, "o bigint, links bigint, to bigint")
+    return scratch.write(found.groupBy("o").agg(F.sum("links").alias("links"), F.min("to").alias("to")))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the lines that an earlier line resembles."""
-    found = _with_removed(docs, text, Scratch(docs.sparkSession, "lines"))
-    kept = F.expr(f"array_join(transform(filter(transform(split(`{text}`, '\\n'), (l, i) -> struct(l, i)), x -> not array_contains(_removed, x.i)), x -> x.l), '\\n')")
-    return found.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)).drop("_removed", "_links")
+    gone = judged_lines(docs, Scratch(docs.sparkSession, "lines"), text).where(F.col("same") | F.col("to").isNotNull())
+    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("removed")).select(F.col("doc_id").alias("id"), F.col("th").alias("of"), "removed")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("th"))
+    found = whole.join(gone, (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("row", "removed")
+    own = F.col("row").getField(text)
+    numbered = F.transform(F.split(own, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains("removed", x.i)), lambda x: x.line), "\n")
+    return found.select(*(F.when(F.col("removed").isNull(), own).otherwise(kept).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +341,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     slim = docs.select("doc_id", F.xxhash64("text").alias("th"), F.expr(r"cast(coalesce(size(filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')), 0) as bigint)").alias("n_lines"))
     line = F.struct("line", "cls", "links", (F.col("same") | F.col("to").isNotNull()).alias("removed"))
-    found = judged_lines(docs, scratch, all_links=True).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_set(line)).alias("classes"))
+    found = judged_lines(docs, scratch).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_set(line)).alias("classes"))
     both = slim.join(found, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     n_removed = F.expr("cast(coalesce(size(filter(classes, x -> x.removed)), 0) as bigint)")
     n_links = F.expr("coalesce(aggregate(classes, 0L, (n, x) -> n + x.links), 0L)")

@@ -142,21 +142,31 @@ def test_simhash(spark, docs, odd):
         assert any(m & bits == 0 for m in simhash.masks())
 
 
+def removed_lines(rows, hashes):
+    """Texts without the lines that an earlier one resembles, by (doc_id, text); None comes last, then texts go by hash."""
+    seen, want = [], {}
+    for doc_id, text in sorted(set(rows), key=lambda r: (2**63 - 1 if r[0] is None else r[0], hashes[r[1]])):
+        kept = []
+        for line in (text or "").split("\n"):
+            own = frozenset(words(line))
+            if not own or not any(5 * len(own & s) >= 4 * len(own | s) for s in seen):
+                kept.append(line)
+            if own:
+                seen.append(own)
+        want[doc_id, text] = None if text is None else "\n".join(kept)
+    return collections.Counter((doc_id, want[doc_id, text]) for doc_id, text in rows)
+
+
 def test_line_dedup(spark, docs, odd):
-    for frame, limit in ((docs, 16_384), (docs, 4), (odd.where("doc_id != 6"), 16_384)):
-        line_dedup.LIMIT = limit
-        seen, want = [], {}
-        for r in sorted(frame.select("doc_id", "text").where("doc_id is not null").collect(), key=lambda r: r.doc_id):
-            kept = []
-            for line in (r.text or "").split("\n"):
-                own = frozenset(words(line))
-                if len(own) < line_dedup.MIN_WORDS or not any(5 * len(own & s) >= 4 * len(own | s) for s in seen):
-                    kept.append(line)
-                if len(own) >= line_dedup.MIN_WORDS:
-                    seen.append(own)
-            want[r.doc_id] = None if r.text is None else "\n".join(kept)
-        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect() if r.doc_id is not None}
-        assert got == want
+    clash = docs.selectExpr("doc_id", "text", "1 as _removed", "2 as _links", "3 as _of", "4 as _id", "5 as _th", "6 as row", "7 as th", "8 as removed")
+    for frame, limit in ((docs, 16_384), (clash, 4), (odd, 16_384)):
+        line_dedup.LIMIT = line_dedup.LINK_LIMIT = limit
+        rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+        hashes = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+        out = line_dedup.dedup_lines(frame)
+        assert out.columns == frame.columns
+        assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == removed_lines(rows, hashes)
+    line_dedup.LIMIT, line_dedup.LINK_LIMIT = 16_384, 4096
 
 
 def test_warc(spark):
@@ -254,9 +264,12 @@ def test_short_lines(spark):
 
 
 def test_line_links(spark, docs):
-    made = [(k, " ".join(["w%d" % j for j in range(12) if j != k])) for k in range(5)] + [(7, "w0 w1 w2 w3\nw0 w1 w2 w3 w4\n\nz"), (8, "z"), (None, None)]
-    for frame, limit in ((spark.createDataFrame(made, "doc_id bigint, text string"), 16_384), (docs, 16_384), (docs, 4)):
-        line_dedup.LIMIT = limit
+    made = [(k, " ".join(["w%d" % j for j in range(12) if j != k])) for k in range(5)] + [(7, "w0 w1 w2 w3\nw0 w1 w2 w3 w4\n\nz"), (8, "z"), (None, None), (None, None), (0, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (0, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")]
+    rng = random.Random(2)
+    base = [f"b{k}" for k in range(40)]
+    near = [(100 + k, " ".join(x if rng.random() > 0.12 else f"c{rng.randrange(60)}" for x in base)) for k in range(80)]
+    for frame, limit in ((spark.createDataFrame(made, "doc_id bigint, text string"), 16_384), (spark.createDataFrame(near, "doc_id bigint, text string"), 16_384), (spark.createDataFrame(near, "doc_id bigint, text string"), 7), (docs, 16_384), (docs, 4)):
+        line_dedup.LIMIT = line_dedup.LINK_LIMIT = limit
         lines = {(r.doc_id, i): frozenset(words(line)) for r in frame.collect() for i, line in enumerate((r.text or "").split("\n")) if words(line)}
         sets = set(lines.values())
         want = {key: sum(own != s and 5 * len(own & s) >= 4 * len(own | s) for s in sets) for key, own in lines.items()}
@@ -264,6 +277,8 @@ def test_line_links(spark, docs):
         assert {(r.doc_id, x.line): x.links for r in rows for x in r.classes} == want and max(want.values()) > (frame is not docs)
         assert len({(lines[r.doc_id, x.line], x.cls) for r in rows for x in r.classes}) == len(sets) == len({x.cls for r in rows for x in r.classes})
         assert all(r.n_links == sum(x.links for x in r.classes) and r.n_removed == sum(x.removed for x in r.classes) for r in rows)
+        assert len(rows) == frame.count()
+    line_dedup.LIMIT, line_dedup.LINK_LIMIT = 16_384, 4096
 
 
 def test_decontamination_long_short_and_nameless_items(spark):
