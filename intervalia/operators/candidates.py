@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clamp
+from .series import clusters
 
 
 def fuse(clustered: DataFrame) -> DataFrame:
@@ -28,21 +29,41 @@ def top_per_bucket(candidates: DataFrame, k: int, width: float = 1.0) -> DataFra
     return candidates.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def suppress(candidates: DataFrame, gap: float) -> DataFrame:
-    """Kept candidates: by falling score, those at least gap from all kept before (one track at a time)."""
+def prune(candidates: DataFrame, tracks: DataFrame, k: int, width: float = 1.0) -> DataFrame:
+    """Candidates inside their track; of each time bucket the k with the largest value."""
+    inside = candidates.join(tracks, "track").where("t > 0 and t < duration")
+    w = Window.partitionBy("track", F.floor(F.col("t") / width)).orderBy(F.col("value").desc(), "t", "cand_id")
+    return inside.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(1, k)).drop("_rank", "duration")
+
+
+def suppress(candidates: DataFrame, gap: float, topk: int | None = None, per_window: int | None = None, window: float = 10.0) -> DataFrame:
+    """Kept candidates: by falling score, those at least gap from all kept before, at most per_window in each window of time and topk a track.
+
+    What lies gap or more apart can't suppress each other, so a track falls into chains of closer points (and, with limits, stays whole)."""
+    span = max(window, gap, 1e-6)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "t", "cand_id"], ascending=[False, True, True])
         kept: list[float] = []
-        rows = []
+        rows, inside = [], {}
         for i, t in zip(pdf.index, pdf["t"]):
             at = int(np.searchsorted(kept, t))
-            if (at == 0 or t - kept[at - 1] >= gap) and (at == len(kept) or kept[at] - t >= gap):
-                kept.insert(at, t)
-                rows.append(i)
+            if (at and t - kept[at - 1] < gap) or (at < len(kept) and kept[at] - t < gap):
+                continue
+            bucket = t // span
+            if per_window is not None and inside.get(bucket, 0) >= per_window:
+                continue
+            inside[bucket] = inside.get(bucket, 0) + 1
+            kept.insert(at, t)
+            rows.append(i)
+            if topk is not None and len(rows) >= topk:
+                break
         return pdf.loc[rows, ["track", "cand_id", "t", "score"]]
 
-    return candidates.select("track", "cand_id", "t", "score").groupBy("track").applyInPandas(one, "track bigint, cand_id bigint, t double, score double")
+    own = candidates.select("track", "cand_id", "t", "score")
+    whole = topk is not None or per_window is not None
+    chained = own.withColumn("cluster", F.lit(0)) if whole else clusters(own, gap, ["cand_id"], open_at=True)
+    return chained.groupBy("track", "cluster").applyInPandas(one, "track bigint, cand_id bigint, t double, score double")
 
 
 def plan(candidates: DataFrame, tracks: DataFrame, low: float, high: float, target: tuple[float, float]) -> DataFrame:
@@ -91,6 +112,51 @@ def plan(candidates: DataFrame, tracks: DataFrame, low: float, high: float, targ
     return rows.groupBy("track").applyInPandas(one, "track bigint, ord int, t double, role string")
 
 
+def optimal(candidates: DataFrame, tracks: DataFrame, low: float, high: float, target: tuple[float, float], penalty: float) -> DataFrame:
+    """track, ord, t, cand_id (null at edges and rescue points) and role of the best path from 0 to the duration with steps of low to high.
+
+    A path's worth is the sum of its candidates' values and of 0.1 for each step in the target range, else less penalty times the
+    distance from the range in units of its upper end; the earliest parent wins ties. In tracks of up to low every step is
+    allowed. Where no path exists the track is split into equal parts of at most high."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dur = float(pdf["duration"].iloc[0])
+        own = pdf.dropna(subset=["t"]).sort_values(["t", "cand_id"])
+        own = own[(own["t"] > 0) & (own["t"] < dur)]
+        t = np.concatenate([[0.0], own["t"].to_numpy(), [dur]])
+        value = np.concatenate([[0.0], own["value"].to_numpy(), [0.0]])
+        ids = [None, *own["cand_id"].tolist(), None]
+        best, parent = np.full(len(t), -np.inf), np.full(len(t), -1)
+        best[0] = 0.0
+        for j in range(1, len(t)):
+            lo, hi = (0, j) if dur <= low else (int(np.searchsorted(t, t[j] - high - 1e-9)), min(j, int(np.searchsorted(t, t[j] - low + 1e-9, side="right"))))
+            step = t[j] - t[lo:hi]
+            allowed = (dur <= low) | ((step >= low) & (step <= high))
+            short, long = np.maximum(target[0] - step, 0.0), np.maximum(step - target[1], 0.0)
+            worth = np.where(short + long > 0, -penalty * (short + long) / max(target[1], 1e-6), 0.1)
+            total = np.where(allowed, best[lo:hi] + value[j] + worth, -np.inf)
+            if len(total) and total.max() > -np.inf:
+                at = int(total.argmax())
+                best[j], parent[j] = total[at], lo + at
+        if best[-1] > -np.inf:
+            path = [len(t) - 1]
+            while path[-1]:
+                path.append(int(parent[path[-1]]))
+            path = path[::-1]
+            times, names, role = [float(t[i]) for i in path], [ids[i] for i in path], "cut"
+        else:
+            n = max(1, int(np.ceil(dur / max(high, 1e-6))))
+            if dur / n < low and n > 1:
+                n = max(1, int(dur // max(low, 1e-6)))
+            times, role = [*(round(k * dur / n, 9) for k in range(n)), dur], "rescue"
+            names = [None] * len(times)
+        roles = ["edge", *[role] * (len(times) - 2), "edge"][: len(times)]
+        return pd.DataFrame({"track": key[0], "ord": range(len(times)), "t": times, "cand_id": pd.array(names, dtype="Int64"), "role": roles})
+
+    rows = tracks.where("duration > 0").join(candidates.select("track", "cand_id", "t", "value"), "track", "left").select("track", "duration", "cand_id", "t", "value")
+    return rows.groupBy("track").applyInPandas(one, "track bigint, ord int, t double, cand_id bigint, role string")
+
+
 def match_one_to_one(predicted: DataFrame, reference: DataFrame, tolerance: float) -> DataFrame:
     """track, t, r: predicted cuts in order take the nearest reference not yet used within tolerance; the later one wins ties."""
 

@@ -33,10 +33,11 @@ def valleys(frames: DataFrame, percent: float = 0.35) -> DataFrame:
     return x.where((F.col("value") <= F.col("_p")) & ((F.col("value") < F.col("_l")) | (F.col("value") < F.col("_r")))).drop("_p", "_l", "_r")
 
 
-def clusters(points: DataFrame, tolerance: float, order: list[str]) -> DataFrame:
-    """points with cluster: a new one where t is more than tolerance behind the point before."""
+def clusters(points: DataFrame, tolerance: float, order: list[str], open_at: bool = False) -> DataFrame:
+    """points with cluster: a new one where t is more than tolerance behind the point before (with open_at, tolerance or more)."""
     w = Window.partitionBy("track").orderBy("t", *order)
-    opens = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("int"), F.lit(1))
+    step = F.col("t") - F.lag("t").over(w)
+    opens = F.coalesce((step >= tolerance if open_at else step > tolerance).cast("int"), F.lit(1))
     return points.withColumn("_opens", opens).withColumn("cluster", F.sum("_opens").over(w)).drop("_opens")
 
 

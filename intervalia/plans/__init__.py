@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
 
-def queries() -> dict:
-    from . import events
+_MODULES = ["events", "boundaries"]
 
-    return dict(events.QUERIES)
 
+def _all(name: str) -> dict:
+    return {k: v for m in _MODULES for k, v in getattr(importlib.import_module(f"{__name__}.{m}"), name).items()}
+
+
+def queries() -> dict:
+    return _all("QUERIES")
 
-def oracle_sql() -> dict[str, str]:
-    from . import events
 
-    return dict(events.ORACLES)
+def oracle_sql() -> dict[str, str]:
+    return _all("ORACLES")

@@ -14,15 +14,22 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = _BASE + sql
-        return f
+def registrar(queries: dict, oracles: dict[str, str]):
+    """A decorator that lists a query and, if given, its SQL (behind _BASE)."""
 
-    return put
+    def query(sql: str | None = None):
+        def put(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = _BASE + sql
+            return f
 
+        return put
+
+    return query
+
+
+query = registrar(QUERIES, ORACLES)
 
 _BASE = """with e as (select user_id as track, event_id, event_type, value, epoch_us(ts) as us from events),
 p as (select track, event_id, event_type, value, (us - min(us) over (partition by track)) / 3600000000.0::double as t,
@@ -213,9 +220,9 @@ def percentile_valleys(spark, sf_dir):
     return S.valleys(points(spark, sf_dir).select("track", "idx", "value")).select("track", "idx", _r("value"))
 
 
-@query("""select track, idx, round(sqrt(avg(value * value) over (partition by track order by idx rows between 4 preceding and 3 following)), 4) as rms from p""")
+@query("""select track, idx, round(sqrt(avg(value * value) over (partition by track order by idx rows between 4 preceding and 3 following)), 8) as rms from p""")
 def rolling_rms(spark, sf_dir):
-    return S.rolling_rms(points(spark, sf_dir).select("track", "idx", "value"), 4, 3).select("track", "idx", _r("rms", 4))
+    return S.rolling_rms(points(spark, sf_dir).select("track", "idx", "value"), 4, 3).select("track", "idx", _r("rms", 8))
 
 
 @query("""select vec_id, round(20 * log10(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) / len(embedding)) + 1e-12), 4) as db from embeddings""")
@@ -225,7 +232,7 @@ def vector_level_db(spark, sf_dir):
     return e.select("vec_id", F.round(decibels(F.sqrt(square / F.size("embedding"))), 4).alias("db"))
 
 
-@query("""select track, bar, round(avg(value), 4) as energy, count(*) as frames from (
+@query("""select track, bar, round(avg(value), 8) as energy, count(*) as frames from (
  select p.track, p.value, (select max((n - 1) // 4) from clicks k where k.track = p.track and k.a <= p.t) as bar from p) where bar is not null group by track, bar""")
 def bar_energy(spark, sf_dir):
     p = points(spark, sf_dir)
@@ -233,13 +240,13 @@ def bar_energy(spark, sf_dir):
     both = p.select("track", "t", "value", F.lit(1).alias("_k"), F.lit(None).cast("bigint").alias("bar")).unionByName(
         _clicks(p).select("track", F.col("a").alias("t"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("_k"), F.floor((F.col("n") - 1) / 4).alias("bar")))
     inside = both.withColumn("bar", F.max("bar").over(w)).where("_k = 1 and bar is not null")
-    return inside.groupBy("track", "bar").agg(F.round(F.avg("value"), 4).alias("energy"), F.count("*").alias("frames"))
+    return inside.groupBy("track", "bar").agg(F.round(F.avg("value"), 8).alias("energy"), F.count("*").alias("frames"))
 
 
-@query("""select track, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(avg(value), 4) as mean, round(max(value), 6) as top, count(*) as n from p group by track""")
+@query("""select track, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(avg(value), 8) as mean, round(max(value), 6) as top, count(*) as n from p group by track""")
 def shift_stats(spark, sf_dir):
     q = lambda x, n: F.round(F.percentile("value", F.lit(x)), 6).alias(n)
-    return points(spark, sf_dir).groupBy("track").agg(q(0.5, "p50"), q(0.95, "p95"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 6).alias("top"), F.count("*").alias("n"))
+    return points(spark, sf_dir).groupBy("track").agg(q(0.5, "p50"), q(0.95, "p95"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.max("value"), 6).alias("top"), F.count("*").alias("n"))
 
 
 @query("""select track, k as chunk, round(k * 90.0::double, 6) as start, round(least(k * 90.0 + 100, duration), 6) as "end", k > 0 as halo_left, k * 90.0 + 100 < duration as halo_right
@@ -340,20 +347,20 @@ def high_energy_regions(spark, sf_dir):
     return high.withColumn("region", region).groupBy("track", "region").agg(F.min("idx").alias("first_idx"), F.count("*").alias("n")).where("n >= 2")
 
 
-@query("""select track, round(sum(value * dt) / sum(dt), 4) as level, round(sum(case when value > 250 then dt else 0 end), 6) as active from
+@query("""select track, round(sum(value * dt) / sum(dt), 6) as level, round(sum(case when value > 250 then dt else 0 end), 6) as active from
  (select track, value, lead(t) over (partition by track order by idx) - t as dt from p) where dt is not null group by track""")
 def step_integral(spark, sf_dir):
     d = points(spark, sf_dir).withColumn("dt", F.lead("t").over(Window.partitionBy("track").orderBy("idx")) - F.col("t")).where("dt is not null")
-    return d.groupBy("track").agg(F.round(F.sum(F.col("value") * F.col("dt")) / F.sum("dt"), 4).alias("level"), F.round(F.sum(F.when(F.col("value") > 250, F.col("dt")).otherwise(0.0)), 6).alias("active"))
+    return d.groupBy("track").agg(F.round(F.sum(F.col("value") * F.col("dt")) / F.sum("dt"), 6).alias("level"), F.round(F.sum(F.when(F.col("value") > 250, F.col("dt")).otherwise(0.0)), 6).alias("active"))
 
 
-@query("""select c.cand_id, round(least(1, greatest(0, w / q)), 4) as level from (select a.event_id as cand_id, a.track,
+@query("""select c.cand_id, round(least(1, greatest(0, w / q)), 8) as level from (select a.event_id as cand_id, a.track,
  avg(b.value) as w from p a join p b on a.track = b.track and abs(a.idx - b.idx) <= 3 group by a.event_id, a.track) c
  join (select track, quantile_cont(value, 0.99) as q from p group by track) using (track)""")
 def local_level(spark, sf_dir):
     w = Window.partitionBy("track").orderBy("idx").rowsBetween(-3, 3)
     top = F.percentile("value", F.lit(0.99)).over(Window.partitionBy("track"))
-    return points(spark, sf_dir).select(F.col("event_id").alias("cand_id"), F.round(clamp(F.avg("value").over(w) / top), 4).alias("level"))
+    return points(spark, sf_dir).select(F.col("event_id").alias("cand_id"), F.round(clamp(F.avg("value").over(w) / top), 8).alias("level"))
 
 
 @query("""select vec_id, i, round(i - 1 + l / (l - r), 6) as at from (select vec_id, i, embedding[i]::double as l, embedding[i + 1]::double as r from (select vec_id, embedding, unnest(range(1, len(embedding))) as i from embeddings)) where l * r < 0""")
