@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["events", "boundaries"]
+_MODULES = ["events", "boundaries", "pauses"]
 
 
 def _all(name: str) -> dict:
