@@ -6,7 +6,7 @@ size, their places, the word before each and a parity map of the whole set (128
 enough); lines that are similar meet at a prefix word. Length, place and parity filters drop pairs that cannot reach a Jaccard similarity
 of 0.8, and pairs with the same word before this one, which meet there too. What is left isn't written as pairs: a line that has any
 partner at a word goes on to the second step, with its words, once for that word. There each pair is verified, at the first
-place in the order at which it meets, and each line gets the number of its links and its earliest partner. So the work tables grow with the
+place in the order at which it meets, and each line gets the number of its links and learns whether one leads to an earlier line. So the work tables grow with the
 lines, though a group of near copies has as many links as pairs. A line is removed if an earlier one (by doc_id, then place in the text) has a
 similarity of 0.8 or more, be that line removed itself or not.
 
@@ -38,6 +38,8 @@ MIN_WORDS = 1
 #: The least size of a set that a different one can resemble (four words and five share 0.8); smaller ones have no prefix.
 LEAST = 4
 BUCKETS = 1 << 16
+#: Stands for a null doc_id, which comes last.
+LAST = 2**63 - 1
 #: Stands for the word before a line's first one.
 NONE = -(1 << 40)
 #: Words up to which a line's parity map has 64 bits; a longer line's has LANES times as many.
@@ -69,6 +71,17 @@ def _rarity(docs: DataFrame, text: str) -> np.ndarray:
     return rank
 
 
+def _order(line: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Sorts by line, rank and hash; by one number of 64 bits where that tells all words apart."""
+    if len(line) and line[-1] < 1 << 16:
+        key = line.astype(np.uint64) << np.uint64(48) | rank << np.uint64(32) | hashes >> np.uint64(32)
+        order = np.argsort(key)
+        key, hashes_ = key[order], hashes[order]
+        if not ((key[1:] == key[:-1]) & (hashes_[1:] != hashes_[:-1])).any():
+            return order
+    return np.lexsort((hashes, rank, line))
+
+
 def line_sets(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, line in the text, where each line's words begin (one more than lines) and the different words of lines with a
     word, in the order of rank (of a word's bucket), then of their hashes."""
@@ -76,9 +89,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     own = np.searchsorted(offsets, start, side="right") - 1
     line = breaks[start] + own
-    ranked = rank[(hashes % np.uint64(BUCKETS)).astype(np.int64)] << np.uint64(48) | hashes >> np.uint64(16)
-    order = np.argsort(ranked)
-    order = order[np.argsort(line[order].astype(np.uint32), kind="stable")]
+    order = _order(line, rank[(hashes % np.uint64(BUCKETS)).astype(np.int64)], hashes)
     hashes, line, own = hashes[order], line[order], own[order]
     new = np.ones(len(line), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -132,29 +143,29 @@ def _lines(docs: DataFrame, text: str, rarity: np.ndarray) -> DataFrame:
 
 
 def _words_of(docs: DataFrame, text: str, rarity: np.ndarray, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """o and words, in order, of the wanted lines (doc_id, th, line, o)."""
+    """o, words, in order, and place (d, th, line) of the wanted lines (doc_id, th, line, o)."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     lists = scratch.write(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "o")).alias("want")))  # lines of one document
     d = _keyed(docs, text)
     few = lists.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0] <= BROADCAST_ROWS
     lists = F.broadcast(lists) if few else lists
-    both = d.join(lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "want")
+    mine = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    both = d.join(lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"), mine).select("text", F.coalesce("doc_id", F.lit(LAST)).alias("d"), "th", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            own, line, at, words = line_sets(*utf8(batch.column("text")), shared.value)
-            known = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(own, line))}
-            orders, parts = [], []
-            for i, want in enumerate(batch.column("want").to_pylist()):
+            lines, rows = [], []
+            for text_, d_, th, want in zip(*(batch.column(c).to_pylist() for c in ("text", "d", "th", "want"))):
+                parts = text_.split("\n")
                 for x in want:
-                    k = known[i, x["line"]]
-                    orders.append(x["o"])
-                    parts.append(words[at[k] : at[k + 1]])
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(orders, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["o", "words"])
+                    lines.append(parts[x["line"]])
+                    rows.append((x["o"], d_, th, x["line"]))
+            own, _, at, words = line_sets(*utf8(pa.array(lines, pa.string())), shared.value)
+            assert len(own) == len(rows)  # wanted lines have words
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.view(np.int64)))], names=["o", "d", "th", "line", "words"])
 
-    return both.mapInArrow(run, "o bigint, words array<bigint>")  # repeated rows give a line twice, which does no harm
+    return both.mapInArrow(run, "o bigint, d bigint, th bigint, line int, words array<bigint>")  # repeated rows give a line twice
 
 
 def need(na, nb):
@@ -163,7 +174,7 @@ def need(na, nb):
 
 
 def meeting(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
-    """The lines of each run that may resemble another one of it, unless they meet at the word before as well."""
+    """The lines of each run, sorted by size, that may resemble another one of it, unless they meet at the word before as well."""
     o, n, pos, before = columns["o"], columns["at"] >> 32, columns["at"] & 0xFFFFFFFF, columns["before"]
     lanes = [columns[m].view(np.uint64) for m in MAP]
     fold = np.bitwise_xor.reduce(lanes)
@@ -173,13 +184,14 @@ def meeting(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[np.ndarr
     while True:
         back += 1
         at = at[at - back >= begin[at]]
+        at = at[DEN * n[at - back] >= NUM * n[at]]  # the next one back is smaller still
         if not len(at):
             return [columns["w"][meets], o[meets]]
         a = at - back
         most = n[a] + n[at] - 2 * need(n[a], n[at])
         ok = (np.bitwise_count(fold[a] ^ fold[at]) <= most) & ((before[a] != before[at]) | (before[a] == NONE)) & (o[a] != o[at])
         a, b, most = a[ok], at[ok], most[ok]
-        ok = (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need(n[a], n[b]))
+        ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need(n[a], n[b])
         a, b, most = a[ok], b[ok], most[ok]
         narrow = np.minimum(n[a], n[b]) <= NARROW
         ok = narrow | (sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in lanes) <= most)
@@ -197,6 +209,8 @@ class Group:
 
     def __init__(self, x: pa.Table):
         self.o, self.i, self.j, self.own, w = (x[c].to_numpy() for c in ("o", "i", "j", "own", "w"))
+        self.rank = np.empty(len(w), np.int64)
+        self.rank[np.lexsort([x[c].to_numpy() for c in ("line", "th", "d")])] = np.arange(len(w))
         lists = x["words"].combine_chunks()
         self.start = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values.to_numpy().view(np.uint64)[self.start[0] : self.start[-1]]
@@ -215,16 +229,18 @@ class Group:
         self.bounds = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(w)]])
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each line its number of links and the least partner before it (by order), or -1."""
-        links, to = np.zeros(len(self.o), np.int64), np.full(len(self.o), -1)
+        """Of each line its number of links, and whether one leads to an earlier line."""
+        links, after = np.zeros(len(self.o), np.int64), np.zeros(len(self.o), bool)
         for lo, hi in zip(self.bounds[:-1], self.bounds[1:]):
             for a in range(lo, hi - 1):
                 b = self._partners(a, hi)
                 if len(b):
                     links[a] += len(b)
                     links[b] += 1
-                    to[b] = np.where((to[b] < 0) | (to[b] > self.o[a]), self.o[a], to[b])
-        return links, to
+                    later = self.rank[b] > self.rank[a]
+                    after[b] |= later
+                    after[a] |= not later.all()
+        return links, after
 
     def _partners(self, a: int, hi: int) -> np.ndarray:
         own = self.word[self.start[a] : self.start[a + 1]]
@@ -253,13 +269,13 @@ class Group:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines sorted by group (w, i, j) and order: o, links and to of those that have a link."""
+    """Lines sorted by group (w, i, j) and o: o, links and after of those that have a link."""
 
     def judged(x: pa.Table) -> pa.RecordBatch:
         group = Group(x)
-        links, to = group.links()
+        links, after = group.links()
         some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(group.o[some]), pa.array(links[some]), pa.array(to[some], mask=to[some] < 0)], names=["o", "links", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(group.o[some]), pa.array(links[some]), pa.array(after[some])], names=["o", "links", "after"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -281,29 +297,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judged_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """doc_id, th, line and class (cls) of every line with a word, with same (an equal set came earlier), to (the order of the earliest
-    similar class before its own) and links: how many other classes resemble its class."""
+    """doc_id, th, line and class (cls) of every line with a word, with same (an equal set came earlier), after (its class resembles one
+    that came earlier) and links: how many other classes resemble its class."""
     rarity = _rarity(docs, text)
     lines = scratch.write(_lines(docs, text, rarity))
-    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "th", "line", "doc_id")
+    order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "th", "line", "doc_id")
     cls = ["cls", "n", *MAP]
     classes = lines.groupBy(*cls).agg(F.min(order).alias("x"), F.first("prefix").alias("prefix"))
-    # The id rises with the order, as sorting deals out ranges.
-    classes = scratch.write(classes.orderBy("x.d", "x.th", "x.line").withColumn("o", F.monotonically_increasing_id()))
+    classes = scratch.write(classes.withColumn("o", F.monotonically_increasing_id()))
     # n and the word's place travel in one number.
     w = F.col("w").cast("bigint")
     before = F.when(F.col("pos") > 0, F.expr("element_at(prefix, if(pos > 0, pos, 1))").cast("bigint")).otherwise(NONE)
     rows = classes.select("o", "n", "prefix", *MAP, F.posexplode("prefix").alias("pos", "w")).select(w.alias("w"), "o", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).alias("at"), before.alias("before"), *MAP)
-    meets = by_runs(rows, ["w"], meeting, ["w", "o"], scratch, LIMIT)
+    meets = by_runs(rows, ["w"], meeting, ["w", "o"], scratch, LIMIT, order=["at"])
     linked = _linked(docs, text, rarity, classes.select("o", "x"), scratch.write(meets.distinct()), scratch)
-    judged = classes.join(linked, "o", "left").select(*cls, "x", "to", F.coalesce("links", F.lit(0)).alias("links"))
+    judged = classes.join(linked, "o", "left").select(*cls, "x", F.coalesce("after", F.lit(False)).alias("after"), F.coalesce("links", F.lit(0)).alias("links"))
     joined = lines.drop("prefix").join(judged, cls)
     later = order.cast("struct<d:bigint,th:bigint,line:int,doc_id:bigint>") > F.col("x")
-    return joined.select("doc_id", "th", "line", "cls", later.alias("same"), "to", "links")
+    return joined.select("doc_id", "th", "line", "cls", later.alias("same"), "after", "links")
 
 
 def _linked(docs: DataFrame, text: str, rarity: np.ndarray, classes: DataFrame, meets: DataFrame, scratch: Scratch) -> DataFrame:
-    """o, links and to of the classes that have a link; meets tells which class (o) meets others at which word (w)."""
+    """o, links and after of the classes that have a link; meets tells which class (o) meets others at which word (w)."""
     wanted = classes.join(meets.select("o").distinct(), "o").select(F.col("x.doc_id").alias("doc_id"), F.col("x.th").alias("th"), F.col("x.line").alias("line"), "o")
     words = scratch.write(_words_of(docs, text, rarity, wanted, scratch)).dropDuplicates(["o"])
     zero = F.lit(0).cast("bigint")
@@ -314,14 +329,14 @@ def _linked(docs: DataFrame, text: str, rarity: np.ndarray, classes: DataFrame,
         own = F.pmod(F.xxhash64("o"), F.coalesce("blocks", F.lit(1)))
         other = F.explode(F.sequence(zero, F.coalesce("blocks", F.lit(1)) - 1))
         dealt = meets.join(hot, "w", "left").withColumn("own", own).withColumn("other", other).select("w", "o", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    both = dealt.join(words, "o").select("w", "i", "j", "own", "o", "words")
-    found = both.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j", "o").mapInArrow(_verify, "o bigint, links bigint, to bigint")
-    return scratch.write(found.groupBy("o").agg(F.sum("links").alias("links"), F.min("to").alias("to")))
+    both = dealt.join(words, "o").select("w", "i", "j", "own", "o", "d", "th", "line", "words")
+    found = both.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j", "o").mapInArrow(_verify, "o bigint, links bigint, after boolean")
+    return scratch.write(found.groupBy("o").agg(F.sum("links").alias("links"), F.bool_or("after").alias("after")))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the lines that an earlier line resembles."""
-    gone = judged_lines(docs, Scratch(docs.sparkSession, "lines"), text).where(F.col("same") | F.col("to").isNotNull())
+    gone = judged_lines(docs, Scratch(docs.sparkSession, "lines"), text).where("same or after")
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("removed")).select(F.col("doc_id").alias("id"), F.col("th").alias("of"), "removed")
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("th"))
     found = whole.join(gone, (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("row", "removed")
@@ -340,7 +355,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     slim = docs.select("doc_id", F.xxhash64("text").alias("th"), F.expr(r"cast(coalesce(size(filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')), 0) as bigint)").alias("n_lines"))
-    line = F.struct("line", "cls", "links", (F.col("same") | F.col("to").isNotNull()).alias("removed"))
+    line = F.struct("line", "cls", "links", F.expr("same or after").alias("removed"))
     found = judged_lines(docs, scratch).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_set(line)).alias("classes"))
     both = slim.join(found, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     n_removed = F.expr("cast(coalesce(size(filter(classes, x -> x.removed)), 0) as bigint)")
