@@ -39,7 +39,7 @@ SIDE = SPAN - GRAM
 #: Classes of one key that one task compares.
 LIMIT = 8192
 #: Bytes of a text that are read at once, of text for a bucket of the arrays, and of text for which a further batch is worth while.
-PIECE, BUCKET_BYTES, BATCH_BYTES = 1 << 20, 32 << 20, 16 << 30
+PIECE, BUCKET_BYTES, BATCH_BYTES = 1 << 19, 32 << 20, 16 << 30
 #: The longest period that is treated as such.
 PERIOD = 32
 #: Numbers that may be broadcast in lists of places (4 bytes each).
