@@ -1,11 +1,10 @@
 """Operator 8, quality classifier by compression.
 
 Two zstandard dictionaries are trained on good and on bad labelled texts. A text is compressed with each, block by block
-so that the dictionary matters all along a long text, and the difference of the two sizes, divided by their sum, becomes a
-probability through a logistic curve fitted on labelled texts that built no dictionary. The curve also takes the smaller
-size by byte of text, which tells texts that repeat themselves. The dictionaries and the curve are
-learnt from at most PER_LABEL texts of a label, cut at TRAIN_BYTES, those with the smallest hash of doc_id;
-scoring reads every whole text.
+so that the dictionary matters all along a long text, and the difference of the two sizes, divided by the text's bytes, is its only
+feature: a logistic curve, fitted on labelled texts that built no dictionary, makes a probability of it. The curve weighs the two labels as
+they are among all labelled rows, so scores are calibrated to that share. The dictionaries and the curve are learnt from whole texts, at
+most PER_LABEL of a label and none of over TRAIN_BYTES, those with the smallest hash of doc_id; scoring reads every whole text.
 
 Edge cases: null and empty texts have a difference of 0, which the curve scores like any other. With one label missing
 every text scores the share of label 1 (0.5 with no labels). Repeated rows are scored one by one. Extra columns pass through;
@@ -28,8 +27,8 @@ from pyspark.sql import types as T
 from .common import slices, table
 from .language_id import fold
 
-#: Bound of the labelled sample: texts of each label, and bytes of each text.
-PER_LABEL, TRAIN_BYTES = 1500, 8_000
+#: Bound of the labelled sample: texts of each label, and the bytes up to which a text belongs to it.
+PER_LABEL, TRAIN_BYTES = 1500, 32_768
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1_024, 3
 
 
@@ -37,7 +36,8 @@ DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1_024, 3
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]  # of the features, then the intercept
+    slope: float
+    intercept: float
 
 
 @functools.lru_cache(maxsize=2)
@@ -50,15 +50,14 @@ def _compressors(good: bytes, bad: bytes) -> tuple:
     return tuple(out)
 
 
-def features(text: str | None, good: bytes, bad: bytes) -> tuple[float, float, float]:
-    """The size difference, above 0 where the good dictionary compresses better; the smaller size by byte, and its square."""
+def difference(text: str | None, good: bytes, bad: bytes) -> float:
+    """Bytes that the good dictionary saves over the bad one, by byte of text."""
     raw = (text or "").encode()
     if not raw or not good:
-        return 0.0, 0.0, 0.0
+        return 0.0
     blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
     a, b = (sum(len(c.compress(x)) for x in blocks) for c in _compressors(good, bad))
-    ratio = min(a, b) / len(raw)
-    return (b - a) / (a + b), ratio, ratio * ratio
+    return (b - a) / len(raw)
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -70,37 +69,39 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\0" + b"".join(raw)[:DICTIONARY_BYTES]
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic weights by Newton's steps on standardised features with a small ridge; both labels weigh the same."""
-    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-    design = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    beta = np.zeros(design.shape[1])
+def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve by Newton's steps with a small ridge; label 1 weighs as its share of all labels."""
+    scale = x.std() or 1.0
+    design = np.column_stack([x / scale, np.ones(len(x))])
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
+    beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (weight * (y - p)) - 0.1 * beta
-        beta += np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(len(beta)), gradient)
-    own = beta[:-1] / scale
-    return (*map(float, own), float(beta[-1] - own @ mean))
+        beta += np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2), gradient)
+    return float(beta[0] / scale), float(beta[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality") -> Model:
     """docs: doc_id and text; labels: doc_id and label (1 good, 0 bad; others are left out). Null texts are left out.
 
     The sample is chosen among the labels alone, so that only PER_LABEL ids of a task and the chosen texts are moved."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"))
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     samples = {}
     for value in (1, 0):
-        ids = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL)
-        own = docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", F.substring(text, 1, TRAIN_BYTES).alias("text"))  # PER_LABEL ids
-        samples[value] = [r.text for r in sorted(own.collect(), key=lambda r: (r.doc_id, r.text))][:PER_LABEL]
+        ids = known.where(F.col("label") == value).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL)
+        own = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= TRAIN_BYTES)).join(F.broadcast(ids), "doc_id")  # PER_LABEL ids
+        own = own.groupBy("doc_id").agg(F.min(text).alias("text"))  # one text an id
+        samples[value] = [r.text for r in sorted(own.collect(), key=lambda r: r.doc_id)]  # PER_LABEL rows at most
     n1, n0 = len(samples[1]), len(samples[0])
     if not n1 or not n0:
         share = n1 / (n1 + n0) if n1 + n0 else 0.5
-        return Model(b"", b"", (0.0, 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))))
+        return Model(b"", b"", 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     good, bad = (_dictionary(samples[v][::2]) for v in (1, 0))
     held = [(t, v) for v in (1, 0) for t in (samples[v][1::2] or samples[v])]
-    x = np.array([features(t, good, bad) for t, _ in held])
-    return Model(good, bad, _curve(x, np.array([v for _, v in held], float)))
+    x = np.array([difference(t, good, bad) for t, _ in held])
+    return Model(good, bad, *_curve(x, np.array([v for _, v in held], float), counts[1] / (counts[1] + counts[0])))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -110,8 +111,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, text):
-            x = np.array([features(t, m.good, m.bad) for t in batch.column(text).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights[:-1]) + m.weights[-1], -30, 30)))
+            x = np.array([difference(t, m.good, m.bad) for t in batch.column(text).to_pylist()])
+            p = 1 / (1 + np.exp(-np.clip(x * m.slope + m.intercept, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "score"])
 
     return keep.mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -98,13 +98,29 @@ def test_language_id(spark, docs, odd):
 
 def test_quality_classifier(spark):
     sf = "/root/testdata/sf0.01"
-    found = quality_classifier.op8_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert np.mean([r.predicted == r.quality for r in found]) > 0.9
+    found = quality_classifier.op8_quality_classifier(spark, sf)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = found.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
+    assert np.mean([(r.score - r.quality) ** 2 for r in rows]) < 0.06  # Brier score; always saying the share of label 1 gives over 0.1
+    assert abs(np.mean([r.score for r in rows]) - np.mean([r.quality for r in rows])) < 0.08
 
 
-def test_classifier_without_labels(odd):
-    model = quality_classifier.train(odd, odd.select("doc_id", F.lit(1).alias("quality")).limit(0))
+def test_classifier_edges(spark, odd):
+    none = odd.select("doc_id", F.lit(1).alias("quality")).limit(0)
+    model = quality_classifier.train(odd, none)
     assert {round(r.score, 6) for r in quality_classifier.score(odd, model).collect()} == {0.5}
+    assert quality_classifier.score(odd.limit(0), model).count() == 0
+    # An id that is repeated many times gives one text; what lies behind the first 8,000 characters is learnt from too.
+    rng = random.Random(4)
+    kinds = {v: ["".join(rng.choices("abcdefghijklmnop" if v else "qrstuvwxyz", k=8)) for _ in range(80)] for v in (1, 0)}
+    late = "".join(rng.choices("0123456789 ", k=8500))
+    rows = [(1, "good words here"), (1, "good words here"), *((base + k, late + " ".join(rng.choices(kinds[v], k=900))) for v, base in ((1, 10), (0, 50)) for k in range(8))]
+    docs = spark.createDataFrame(rows * 3, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 50).cast("int").alias("quality"))
+    model = quality_classifier.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    assert min(got[10 + k] for k in range(8)) > max(got[50 + k] for k in range(8))
 
 
 def test_suffix_dedup(spark, odd):
@@ -176,7 +192,7 @@ def test_warc(spark):
 
     base = Scratch(spark, "warc-test").base
     index = warc.normalise(warc.write_archives(warc.with_revisits(pages), f"{base}/plain"), f"{base}/plain", f"{base}/members").collect()
-    got = {r.page_id: r for r in warc.read_records(spark.createDataFrame(index), f"{base}/members").collect()}
+    got = {r.page_id: r for r in warc.read_records(spark.createDataFrame(index, "archive string, offset bigint, length bigint, error string"), f"{base}/members").collect()}
     for page_id, _, html, _ in rows:
         raw, r = (html or "").encode(), got[page_id]
         top = max(p for p, _, h, _ in rows if (h or "") == (html or ""))
@@ -186,6 +202,50 @@ def test_warc(spark):
     assert warc.write_archives(warc.with_revisits(pages.limit(0)), f"{base}/none").count() == 0
 
 
+def test_warc_query(spark):
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    last = {}
+    for page_id, raw in pages.items():
+        last[raw] = max(page_id, last.get(raw, page_id))
+    found = warc.op7_warc(spark, SF)
+    assert found.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = {(p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if last[raw] == p else "revisit", None if last[raw] == p else last[raw]) for p, raw in pages.items()}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_warc_rows_without_an_id_and_repeated_rows(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", "same"), (1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (None, "v", "alone"), (None, "v", "alone")], "page_id bigint, url string, html string")
+    scratch = warc.Scratch(spark, "warc-test")
+    for s in (None, scratch):
+        assert sorted((str(r.page_id), str(r.refers_to)) for r in warc.with_revisits(pages, s).collect()) == sorted([("None", "2"), ("1", "2"), ("2", "None"), ("2", "None"), ("None", "None"), ("None", "None")])
+
+
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+    import zlib
+
+    plain = lambda head, block: b"\r\n".join([b"WARC/1.0", *head, b"Content-Length:%d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type:text/html\r\n\r\n<p>hello</p>"
+    one = plain([b"WARC-Type:warcinfo", b"WARC-Record-ID: <urn:uuid:1>"], b"software: x") + plain([b"WARC-Type: response", b"X-Long: first", b"  second", b"WARC-Record-ID:<urn:uuid:2>"], http)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one[:100]) + b"\0" * 7 + gzip.compress(one[100:]) + b"\0" * 3000)
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(one + one)[:-40])
+    broken = bytearray(gzip.compress(one + one[:-30]))
+    (tmp_path / "short.warc.gz").write_bytes(bytes(broken))
+    (tmp_path / "noise.warc.gz").write_bytes(b"not gzip at all")
+    names = spark.createDataFrame([(n,) for n in ("a", "b", "cut", "short", "noise")], "n string").selectExpr("concat(n, '.warc.gz') as archive")
+    index = warc.normalise(names, f"file://{tmp_path}", f"file://{tmp_path}/out").cache()
+    per = {n: sorted((r.offset is None for r in index.where(F.col("archive") == f"{n}.warc.gz").collect())) for n in ("a", "b", "cut", "short", "noise")}
+    assert per["a"] == per["b"] == [False, False] and per["noise"] == [True]
+    assert per["short"] == [False] * 3 + [True] and per["cut"][-1] and per["cut"].count(False) >= 1
+    got = warc.read_records(index.where("error is null and archive in ('a.warc.gz', 'b.warc.gz')"), f"file://{tmp_path}/out").collect()
+    assert sorted((r.record_type, bytes(r.payload)) for r in got) == sorted([("response", b"<p>hello</p>"), ("warcinfo", b"software: x")] * 2)
+    assert all(r.page_id is None and r.payload_digest == base64.b32encode(hashlib.sha1(r.payload).digest()).decode() for r in got)
+    first = index.where("archive = 'a.warc.gz' and offset = 0").first()
+    raw = (tmp_path / "out" / "a.warc.gz").read_bytes()[: first.length]
+    assert zlib.decompress(raw, 31).startswith(b"WARC/1.0")
+
+
 def test_decontamination(spark, docs, odd):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     first = items.orderBy("item_id").first()
