@@ -95,3 +95,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

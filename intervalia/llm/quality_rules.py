@@ -23,6 +23,10 @@ SPACE = r"[\\x20\\x09-\\x0D]+"
 BLANK = r"' \t\n\u000B\u000C\r'"
 
 
+#: Columns that quality_rules() adds; it replaces input columns of these names.
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "lost_chars", "base_failed", "kept", "clean_text"]
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Limits of the line and document rules. A line is judged only if it has a word."""
@@ -96,9 +100,10 @@ def line_fails(rules: LineRules) -> str:
 
 def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, line_chars, base_failed, kept and clean_text."""
-    t = f"coalesce(`{text}`, '')"
+    t = "coalesce(_text, '')"
+    own = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))  # whatever docs' columns are called
     line = f"struct(l as line, btrim(l, {BLANK}) != '' as worded, size(split(l, '[#*$%&|<>]')) - 1 as n_symbols)"
-    first = docs.withColumns({"_words": F.expr(words_of(t)), "_lines": F.expr(f"transform(split({t}, '\\n'), l -> {line})")})
+    first = own.withColumns({"_words": F.expr(words_of(t)), "_lines": F.expr(f"transform(split({t}, '\\n'), l -> {line})")})
     fails = let("x.line", "l", let("x.n_symbols", "n_symbols", line_fails(rules)))
     judged = first.withColumn("_lines", F.expr(f"transform(_lines, x -> struct(x.line as line, x.worded as worded, x.n_symbols as n_symbols, x.worded and {fails} as fails))"))
     total = lambda of, where: f"aggregate(transform(filter(_lines, x -> {where}), x -> {of}), 0L, (a, x) -> a + x)"
@@ -114,14 +119,8 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "
         }
     )
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    # The row number is always at least 0; as it isn't deterministic, a filter on kept stays above these projections
-    # instead of repeating all their expressions below them.
-    once = F.monotonically_increasing_id() >= 0
-    return (
-        counted.withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & F.expr(f"100 * lost_chars <= {rules.max_lost_percent} * line_chars") & once)
-        .drop("_words", "_lines")
-    )
+    judged = counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.expr(f"100 * lost_chars <= {rules.max_lost_percent} * line_chars"))
+    return judged.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ADDED), *ADDED)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +131,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
-    judged = quality_rules(docs).where("kept").withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("bigint"))
-    return judged.select(*docs.columns)
+    row = docs.select(F.struct("*").alias("row"), "text")
+    # A row number isn't deterministic, so the filter stays above the projections instead of repeating all their expressions below them.
+    judged = quality_rules(row).withColumn("n", F.monotonically_increasing_id()).where("kept and n >= 0")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}
+    return judged.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 _R = LineRules()
