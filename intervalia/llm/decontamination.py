@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ BUCKETS = 1 << 16
 MIN_COSINE, RANK, ROUNDS = 0.6, 64, 2
 RARE = 8
 COVERED, COVERED_WITH_ANSWER, ANSWER_COVERED = 0.8, 0.6, 0.9
-_BLOCK = 1024
+#: Words of a block of the sums that tasks send, and groups in which these are added first.
+_BLOCK, _SALTS = 256, 256
 
 
 @dataclass
@@ -287,13 +289,16 @@ def latent_basis(passages: DataFrame, q: Queries, shared) -> np.ndarray:
                     some = some or bool(rows)
             if some:
                 blocks = [total[i : i + _BLOCK].tobytes() for i in range(0, len(total), _BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "part"])
+                salt = pa.array(np.full(len(blocks), TaskContext.get().partitionId() % _SALTS), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), salt, pa.array(blocks, pa.binary())], names=["block", "salt", "part"])
 
         def add(of: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float64) for x in of.column("part").to_pylist())
-            return pa.table({"block": of.column("block").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+            total = sum(np.frombuffer(x.as_py(), np.float64) for x in of.column("part"))
+            return of.slice(0, 1).set_column(2, "part", pa.array([total.tobytes()], pa.binary()))
 
-        summed = passages.select("words").mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary")
+        # In two steps, so that no group holds a part of every task.
+        form = "block int, salt int, part binary"
+        summed = passages.select("words").mapInArrow(run, form).groupBy("block", "salt").applyInArrow(add, form).groupBy("block").applyInArrow(add, form)
         total = np.zeros_like(basis)
         for row in summed.collect():  # vocabulary x rank numbers, a bounded size
             part = np.frombuffer(row.part, np.float64).reshape(-1, rank)
@@ -381,5 +386,6 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leak."""
-    leaks = _leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak"), F.col("th").alias("_th")).distinct()
-    return docs.join(leaks, docs.doc_id.eqNullSafe(F.col("_leak")) & (F.xxhash64(docs.text) == F.col("_th")), "left_anti").select(*docs.columns)
+    leaks = _leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak"), F.col("th").alias("of")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"))
+    return whole.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")) & (F.col("th") == F.col("of")), "left_anti").select("row.*")
