@@ -107,8 +107,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest doc_id (null comes last), then the smallest hash of its text; of
     rows equal in doc_id and text one."""
     th = F.xxhash64("text")
-    keyed = docs.select("doc_id", "text", th.alias("th"))
-    found = near_duplicates(keyed, keys=["th"])
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.th").alias("_th"))
-    both = docs.withColumn("_of", th).join(first, (F.col("_of") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_kept")))
-    return both.dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
+    found = near_duplicates(docs.select("doc_id", "text", th.alias("th")), keys=["th"])
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("kept"), F.col("x.th").alias("of"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), th.alias("th"))
+    both = whole.join(first, (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("kept")))
+    return both.dropDuplicates(["doc_id", "th"]).select("row.*")

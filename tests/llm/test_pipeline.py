@@ -27,3 +27,17 @@ def test_rows_without_an_id_of_their_own(spark):
     key = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
     assert key(stages["decontamination"](spark, docs, SF)) == key(docs.where(docs.text != item))
     assert key(stages["simhash"](spark, docs, SF)) == key(docs.where("text != '%s' or doc_id = 5" % item).distinct())
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["_words", "_lines", "_text", "_row", "row", "n", "kept", "_kept", "_of", "of", "_th", "th", "leak", "_leak", "removed", "n_words", "clean_text", "root", "fp"]
+    docs = base.selectExpr("*", *(f"'{c}' as {c}" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.select(*names).distinct().collect()
+        assert [r.asDict() for r in rows] == [{c: c for c in names}], name
+        plain = stage(spark, base, SF)
+        assert out.count() == plain.count(), name
+        assert stage(spark, docs.limit(0), SF).count() == 0
