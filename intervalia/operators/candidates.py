@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clamp
+from .folds import fold
 from .series import clusters
 
 
@@ -42,12 +42,11 @@ def suppress(candidates: DataFrame, gap: float, topk: int | None = None, per_win
     What lies gap or more apart can't suppress each other, so a track falls into chains of closer points (and, with limits, stays whole)."""
     span = max(window, gap, 1e-6)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "t", "cand_id"], ascending=[False, True, True])
+    def step(x: dict[str, np.ndarray]) -> list:
         kept: list[float] = []
         rows, inside = [], {}
-        for i, t in zip(pdf.index, pdf["t"]):
-            at = int(np.searchsorted(kept, t))
+        for i, t in enumerate(x["t"].tolist()):
+            at = bisect.bisect_left(kept, t)
             if (at and t - kept[at - 1] < gap) or (at < len(kept) and kept[at] - t < gap):
                 continue
             bucket = t // span
@@ -58,12 +57,12 @@ def suppress(candidates: DataFrame, gap: float, topk: int | None = None, per_win
             rows.append(i)
             if topk is not None and len(rows) >= topk:
                 break
-        return pdf.loc[rows, ["track", "cand_id", "t", "score"]]
+        return [x[c][rows] for c in ("track", "cand_id", "t", "score")]
 
     own = candidates.select("track", "cand_id", "t", "score")
     whole = topk is not None or per_window is not None
     chained = own.withColumn("cluster", F.lit(0)) if whole else clusters(own, gap, ["cand_id"], open_at=True)
-    return chained.groupBy("track", "cluster").applyInPandas(one, "track bigint, cand_id bigint, t double, score double")
+    return fold(chained, ["track", "cluster"], [F.col("score").desc(), "t", "cand_id"], step, "track bigint, cand_id bigint, t double, score double")
 
 
 def plan(candidates: DataFrame, tracks: DataFrame, low: float, high: float, target: tuple[float, float]) -> DataFrame:
@@ -72,29 +71,24 @@ def plan(candidates: DataFrame, tracks: DataFrame, low: float, high: float, targ
     A path's worth is the sum of its candidates' scores and of 1 for each step in the target range, falling to 0 at the hard
     limits; the earliest parent wins ties. Where no path exists the track is split into equal parts."""
 
-    def worth(step: float) -> float:
-        if target[0] <= step <= target[1]:
-            return 1.0
-        return max(0.0, (step - low) / (target[0] - low)) if step < target[0] else max(0.0, (high - step) / (high - target[1]))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dur = float(pdf["duration"].iloc[0])
-        own = pdf.dropna(subset=["t"]).sort_values(["t", "cand_id"])
-        own = own[(own["t"] > 0) & (own["t"] < dur)]
-        t = np.concatenate([[0.0], own["t"].to_numpy(), [dur]])
-        value = np.concatenate([[0.0], own["score"].to_numpy(), [0.0]])
+    def worth(length: np.ndarray) -> np.ndarray:
+        return np.clip(np.minimum((length - low) / (target[0] - low), (high - length) / (high - target[1])), 0.0, 1.0)
+
+    def step(x: dict[str, np.ndarray]) -> list:
+        dur = float(x["duration"][0])
+        own = (x["t"] > 0) & (x["t"] < dur)  # not where it is unknown
+        t = np.concatenate([[0.0], x["t"][own], [dur]])
+        value = np.concatenate([[0.0], x["score"][own], [0.0]])
         best, parent = np.full(len(t), -np.inf), np.full(len(t), -1)
         best[0] = 0.0
         lo = 0
         for j in range(1, len(t)):
             while t[j] - t[lo] > high + 1e-9:
                 lo += 1
-            for i in range(lo, j):
-                step = t[j] - t[i]
-                if step < low - 1e-9:
-                    break
-                if best[i] > -np.inf and best[i] + value[j] + worth(step) > best[j]:
-                    best[j], parent[j] = best[i] + value[j] + worth(step), i
+            hi = min(j, int(np.searchsorted(t, t[j] - low + 1e-9, side="right")))
+            if lo < hi and (total := best[lo:hi] + value[j] + worth(t[j] - t[lo:hi])).max() > -np.inf:
+                at = int(total.argmax())
+                best[j], parent[j] = total[at], lo + at
         if best[-1] > -np.inf:
             path = [len(t) - 1]
             while path[-1]:
@@ -106,10 +100,10 @@ def plan(candidates: DataFrame, tracks: DataFrame, low: float, high: float, targ
                 n = max(1, int(dur // low))
             times, role = np.linspace(0.0, dur, n + 1), "rescue"
         roles = ["edge", *[role] * (len(times) - 2), "edge"][: len(times)]
-        return pd.DataFrame({"track": key[0], "ord": range(len(times)), "t": times, "role": roles})
+        return [np.full(len(times), x["track"][0]), np.arange(len(times)), np.asarray(times), roles]
 
     rows = tracks.join(candidates.select("track", "cand_id", "t", "score"), "track", "left").select("track", "duration", "cand_id", "t", "score")
-    return rows.groupBy("track").applyInPandas(one, "track bigint, ord int, t double, role string")
+    return fold(rows, ["track"], ["t", "cand_id"], step, "track bigint, ord int, t double, role string")
 
 
 def optimal(candidates: DataFrame, tracks: DataFrame, low: float, high: float, target: tuple[float, float], penalty: float) -> DataFrame:
@@ -119,13 +113,12 @@ def optimal(candidates: DataFrame, tracks: DataFrame, low: float, high: float, t
     distance from the range in units of its upper end; the earliest parent wins ties. In tracks of up to low every step is
     allowed. Where no path exists the track is split into equal parts of at most high."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dur = float(pdf["duration"].iloc[0])
-        own = pdf.dropna(subset=["t"]).sort_values(["t", "cand_id"])
-        own = own[(own["t"] > 0) & (own["t"] < dur)]
-        t = np.concatenate([[0.0], own["t"].to_numpy(), [dur]])
-        value = np.concatenate([[0.0], own["value"].to_numpy(), [0.0]])
-        ids = [None, *own["cand_id"].tolist(), None]
+    def fold_step(x: dict[str, np.ndarray]) -> list:
+        dur = float(x["duration"][0])
+        own = (x["t"] > 0) & (x["t"] < dur)  # not where it is unknown
+        t = np.concatenate([[0.0], x["t"][own], [dur]])
+        value = np.concatenate([[0.0], x["value"][own], [0.0]])
+        ids = [None, *(int(i) for i in x["cand_id"][own]), None]
         best, parent = np.full(len(t), -np.inf), np.full(len(t), -1)
         best[0] = 0.0
         for j in range(1, len(t)):
@@ -151,26 +144,28 @@ def optimal(candidates: DataFrame, tracks: DataFrame, low: float, high: float, t
             times, role = [*(round(k * dur / n, 9) for k in range(n)), dur], "rescue"
             names = [None] * len(times)
         roles = ["edge", *[role] * (len(times) - 2), "edge"][: len(times)]
-        return pd.DataFrame({"track": key[0], "ord": range(len(times)), "t": times, "cand_id": pd.array(names, dtype="Int64"), "role": roles})
+        return [np.full(len(times), x["track"][0]), np.arange(len(times)), np.asarray(times), names, roles]
 
     rows = tracks.where("duration > 0").join(candidates.select("track", "cand_id", "t", "value"), "track", "left").select("track", "duration", "cand_id", "t", "value")
-    return rows.groupBy("track").applyInPandas(one, "track bigint, ord int, t double, cand_id bigint, role string")
+    return fold(rows, ["track"], ["t", "cand_id"], fold_step, "track bigint, ord int, t double, cand_id bigint, role string")
 
 
 def match_one_to_one(predicted: DataFrame, reference: DataFrame, tolerance: float) -> DataFrame:
     """track, t, r: predicted cuts in order take the nearest reference not yet used within tolerance; the later one wins ties."""
 
-    def one(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        refs, used, rows = np.sort(theirs["r"].to_numpy()), set(), []
-        for t in np.sort(mine["t"].to_numpy()):
-            near = [i for i in range(*np.searchsorted(refs, [t - tolerance, t + tolerance + 1e-12])) if i not in used]
+    def step(x: dict[str, np.ndarray]) -> list:
+        refs, used, rows = x["t"][x["kind"] == 0], set(), []
+        for t in x["t"][x["kind"] == 1].tolist():
+            near = [i for i in range(*np.searchsorted(refs, [t - tolerance - 1e-9, t + tolerance + 1e-9])) if i not in used and abs(refs[i] - t) <= tolerance]
             if near:
                 best = min(near, key=lambda i: (abs(refs[i] - t), -i))
                 used.add(best)
-                rows.append((key[0], t, refs[best]))
-        return pd.DataFrame(rows, columns=["track", "t", "r"])
+                rows.append((x["track"][0], t, refs[best]))
+        return [list(c) for c in zip(*rows)] or [[], [], []]
 
-    return predicted.select("track", "t").groupBy("track").cogroup(reference.select("track", "r").groupBy("track")).applyInPandas(one, "track bigint, t double, r double")
+    both = predicted.select("track", "t", F.lit(1).alias("kind")).unionByName(reference.select("track", F.col("r").alias("t"), F.lit(0).alias("kind")))
+    chains = clusters(both, tolerance, ["kind"])  # what lies further apart can't match
+    return fold(chains, ["track", "cluster"], ["t", "kind"], step, "track bigint, t double, r double")
 
 
 def snap_to_grid(points: DataFrame, anchors: DataFrame, tolerance: float, least: float) -> DataFrame:

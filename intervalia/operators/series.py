@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def runs(frames: DataFrame, flag: Column, keys: list[str] = ["track"], order: str = "idx") -> DataFrame:
     """frames with flag and run, which counts the maximal runs of equal flags."""
@@ -47,14 +50,23 @@ def rolling_rms(frames: DataFrame, before: int, behind: int) -> DataFrame:
 
 
 def smoothed(frames: DataFrame, alpha: float) -> DataFrame:
-    """track and the last value of y = alpha * y + (1 - alpha) * x from 0: a fold over each track's ordered values."""
-    series = frames.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
-    return series.select("track", F.aggregate("s", F.lit(0.0), lambda y, x: F.lit(alpha) * y + F.lit(1 - alpha) * x["value"]).alias("smoothed"))
+    """track and the last value of y = alpha * y + (1 - alpha) * x from 0: a sum in which each frame weighs by how many follow it."""
+    behind = F.max("idx").over(Window.partitionBy("track")) - F.col("idx")
+    weighed = frames.withColumn("_w", (1 - alpha) * F.pow(F.lit(alpha), behind) * F.col("value"))
+    return weighed.groupBy("track").agg(F.sum("_w").alias("smoothed"))
 
 
 def greedy_gap(points: DataFrame, gap: float) -> DataFrame:
-    """track and t of points kept in order if at least gap behind the last kept one."""
-    series = points.groupBy("track").agg(F.array_sort(F.collect_set("t")).alias("s"))
-    kept = F.aggregate("s", F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    # element_at of an empty array isn't reached: when() is evaluated first.
-    return series.select("track", F.explode(kept).alias("t"))
+    """track and t of points kept in order if at least gap behind the last kept one. Points that far behind the one before begin a chain of their own."""
+
+    def step(x: dict[str, np.ndarray]) -> list:
+        t, kept, at = x["t"], [], 0
+        while at < len(t):
+            kept.append(at)
+            at = max(at + 1, int(np.searchsorted(t, t[at] + gap)))
+            while at < len(t) and t[at] - t[kept[-1]] < gap:  # where the sum was rounded
+                at += 1
+        return [x["track"][kept], t[kept]]
+
+    chains = clusters(points.select("track", "t"), gap, [], open_at=True)
+    return fold(chains, ["track", "cluster"], ["t"], step, "track bigint, t double")

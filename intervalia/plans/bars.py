@@ -98,7 +98,7 @@ def converted_cuts(spark, sf_dir):
 
 
 @query(""", nn as (select track, duration, case when duration / greatest(1, ceil(duration / 80)) < 60 and ceil(duration / 80) > 1 then greatest(1, floor(duration / 60)) else greatest(1, ceil(duration / 80)) end::bigint as n from tracks)
- select track, k as ord, round(case when k = n then duration else k * duration / n end, 6) as t from nn, unnest(range(0, n + 1)) u(k)""")
+ select track, k as ord, round(case when k = n then duration else round(k * duration / n, 9) end, 6) as t from nn, unnest(range(0, n + 1)) u(k)""")
 def uniform_split(spark, sf_dir):
     return G.uniform_split(E._tracks(points(spark, sf_dir)), 60.0, 80.0).select("track", "ord", _r("t"))
 

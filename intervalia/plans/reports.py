@@ -113,15 +113,15 @@ def _metrics(p, late: bool):
     return p.where("idx > 40" if late else "idx <= 40").groupBy(F.col("event_type").alias("metric"), kind.alias("kind")).agg(F.avg("value").alias("value"))
 
 
-@query(_METRICS + ' select metric, kind, round(lim, 6) as "limit" from ml')
+@query(_METRICS + ' select metric, kind, round(lim, 9) as "limit" from ml')
 def guardrail_limits(spark, sf_dir):
-    return R.guardrails(_metrics(points(spark, sf_dir), False), 0.02).select("metric", "kind", _r("limit"))
+    return R.guardrails(_metrics(points(spark, sf_dir), False), 0.02).select("metric", "kind", _r("limit", 9))
 
 
-@query(_METRICS + ', mn as (select event_type as metric, avg(value) as now from p where idx > 40 group by event_type) select metric, round(now, 6) as value, round(lim, 6) as "limit", round(now - value, 6) as change from ml join mn using (metric) where case when kind = \'min\' then now < lim else now > lim end')
+@query(_METRICS + ', mn as (select event_type as metric, avg(value) as now from p where idx > 40 group by event_type) select metric, round(now, 9) as value, round(lim, 9) as "limit", round(now - value, 9) as change from ml join mn using (metric) where case when kind = \'min\' then now < lim else now > lim end')
 def guardrail_violations(spark, sf_dir):
     p = points(spark, sf_dir)
-    return R.violations(R.guardrails(_metrics(p, False), 0.02), _metrics(p, True)).select("metric", _r("value"), _r("limit"), _r("change"))
+    return R.violations(R.guardrails(_metrics(p, False), 0.02), _metrics(p, True)).select("metric", _r("value", 9), _r("limit", 9), _r("change", 9))
 
 
 @query(_X + " select track, count(*) as segments, count(*) filter (duration_s <= 0) as empty, count(*) filter (duration_s < 5) as below, count(*) filter (duration_s > 15) as above, round(median(duration_s), 6) as median_s, round(avg(duration_s), 6) as mean_s, round(min(duration_s), 6) as shortest_s, round(max(duration_s), 6) as longest_s from sg group by track")
@@ -181,11 +181,11 @@ def segment_quality_report(spark, sf_dir):
 
 
 @query(""", ad as (select track, value - 200 as g, value % 50 - 25 as v, value % 30 - 20 as m from p)
- select track, round(avg(abs(g)), 8) as mean_ms, round(max(abs(g)), 6) as largest_ms, round(quantile_cont(abs(g), 0.95), 6) as p95_ms, round(coalesce(avg(v) filter (v > 0), 0), 6) as voice_ms, round(coalesce(avg(m) filter (m > 0), 0), 6) as mix_ms, count(*) as n, avg(abs(g)) <= 130 and quantile_cont(abs(g), 0.95) <= 270 as passes from ad group by track""")
+ select track, round(avg(abs(g)), 8) as mean_ms, round(max(abs(g)), 6) as largest_ms, round(quantile_cont(abs(g), 0.95), 6) as p95_ms, round(coalesce(avg(v) filter (v > 0), 0), 9) as voice_ms, round(coalesce(avg(m) filter (m > 0), 0), 9) as mix_ms, count(*) as n, avg(abs(g)) <= 130 and quantile_cont(abs(g), 0.95) <= 270 as passes from ad group by track""")
 def guard_shift_gate(spark, sf_dir):
     v = F.col("value")
     ad = points(spark, sf_dir).select("track", (v - 200).alias("guard_ms"), (v % 50 - 25).alias("voice_ms"), (v % 30 - 20).alias("mix_ms"))
-    return R.shift_gate(ad, 130.0, 270.0).select("track", _r("mean_ms", 8), _r("largest_ms"), _r("p95_ms"), _r("voice_ms"), _r("mix_ms"), "n", "passes")
+    return R.shift_gate(ad, 130.0, 270.0).select("track", _r("mean_ms", 8), _r("largest_ms"), _r("p95_ms"), _r("voice_ms", 9), _r("mix_ms", 9), "n", "passes")
 
 
 @query(_X + """, sn as (select track, string_agg(printf('segment_%03d_%s_%.1f', n, case when voiced then 'human' else 'music' end, duration_s), ',' order by n) as names, count(*) as segments from (select *, row_number() over (partition by track order by start, "end") as n from sg) group by track)
