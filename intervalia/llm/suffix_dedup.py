@@ -130,7 +130,7 @@ class SuffixFamily:
         def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches_, "text"):
                 data, offsets = utf8(part.column("text"))
-                long = len(data) > 2 * PIECE  # one long text
+                long = part.num_rows == 1 and len(data) > 2 * PIECE
                 for lo in range(0, len(data) - SPAN + 1, PIECE) if long else [0]:
                     some = data[lo : lo + PIECE + SPAN - 1] if long else data
                     head, key, own, pos, r_own, a, b = anchors(some, np.array([0, len(some)]) if long else offsets)

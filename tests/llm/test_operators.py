@@ -123,24 +123,68 @@ def test_classifier_edges(spark, odd):
     assert min(got[10 + k] for k in range(8)) > max(got[50 + k] for k in range(8))
 
 
-def test_suffix_dedup(spark, odd):
-    rng = random.Random(3)
-    base = "".join(rng.choice("abcd ") for _ in range(700))
-    made = [extra(100 + i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 150))) + base[rng.randrange(200) : rng.randrange(350, 700)] + "é" * rng.randrange(150)) for i in range(40)]
-    frame = odd.where("doc_id is null or doc_id != 4").unionByName(spark.createDataFrame(made, SCHEMA))
-    rows = [(r.doc_id, (r.text or "").encode()) for r in frame.collect()]
+def without_repeats(rows):
+    """(doc_id, bytes, SHA-256 of the bytes that no repeated window of 200 covers), by brute force."""
     count = collections.Counter(raw[i : i + 200] for _, raw in rows for i in range(len(raw) - 199))
-    want = []
+    out = []
     for doc_id, raw in rows:
         gone = np.zeros(len(raw), bool)
         for i in range(len(raw) - 199):
             if count[raw[i : i + 200]] > 1:
                 gone[i : i + 200] = True
-        want.append((str(doc_id), len(raw), hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest()))
-    for limit in (4096, 3):
-        suffix_dedup.LIMIT = limit
-        got = [(str(r.doc_id), r.n_bytes, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(frame).collect()]
-        assert sorted(got) == sorted(want)
+        out.append((str(doc_id), len(raw), hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit,batches,piece,apart", [(8192, None, 1 << 19, False), (2, 5, 700, True)])
+def test_suffix_dedup(spark, odd, monkeypatch, limit, batches, piece, apart):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcd ") for _ in range(900))
+    made = [extra(100 + i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 150))) + base[rng.randrange(300) : rng.randrange(450, 900)] + "é" * rng.randrange(150)) for i in range(50)]
+    made += [extra(200 + k, t) for k, t in enumerate(["x" * 200, "xy" * 500 + "q", "yx" * 150, "z" * 199, "abc" * 67 + "q" * 300 + "abc" * 400, "xy" * 101, "p" * 230, "r" * 200 + "s" * 201, "r" * 200, base * 3])]
+    made += [extra(204, "abc" * 67 + "q" * 300 + "abc" * 400)]
+    frame = odd.where("doc_id is null or doc_id != 4").unionByName(spark.createDataFrame(made, SCHEMA))
+    want = without_repeats([(r.doc_id, (r.text or "").encode()) for r in frame.collect()])
+    monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    if apart:  # a batch of one row, so that its text is read in pieces
+        frame = frame.repartition(200)
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_NUMBERS", 0)
+    spans = suffix_dedup.repeated_spans
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda docs, scratch, text="text": spans(docs, scratch, text, batches))
+    got = [(str(r.doc_id), r.n_bytes, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(frame).collect()]
+    assert sorted(got) == want
+
+
+def test_suffix_dedup_of_a_long_periodic_text(spark):
+    rng = random.Random(1)
+    odd_text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    docs = spark.createDataFrame([(1, "ab" * 2_500_000), (2, odd_text), (3, "tail " + odd_text[100_000:100_300])], "doc_id bigint, text string")
+    got = {r.doc_id: [(x.a, x.b) for x in r.removed] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {1: [(0, 5_000_000)], 2: [(100_000, 100_300)], 3: [(5, 305)]}
+
+
+def test_suffix_levels(spark):
+    """Levels of 2, 1 and 1 batches after four; a batch's matches are found against all of them."""
+    scratch = suffix_dedup.Scratch(spark, "levels")
+    family = suffix_dedup.SuffixFamily(scratch, 4)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdef", k=900)) for _ in range(4)]
+    for k, text in enumerate(texts):
+        own = spark.createDataFrame([(k, text + texts[0][:300] * (k == 3))], "doc_id bigint, text string")
+        found = family.add(family.store(family.suffixes(suffix_dedup._texts(own, "text")).drop("batch"))[0])
+        assert (found.count() > 0) == (k == 3)
+    assert [size for size, _, _ in family.levels] == [2, 1, 1]
+    family.close()
+
+
+def test_suffix_dedup_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy(F.length("text")).limit(120).union(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 9 = 0 and length(text) < 6000"))
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    got = [(str(r.doc_id), r.n_bytes, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()]
+    assert sorted(got) == without_repeats(rows)
+    found = suffix_dedup.op4_suffix_dedup(spark, SF)
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and found.count() == 200
 
 
 def test_simhash(spark, docs, odd):
