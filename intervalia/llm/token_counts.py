@@ -7,10 +7,14 @@ again from its true first state. The second transducer reads the bytes of pieces
 change in the number of tokens of the prefix read so far. Its states are compiled as they are first met, from the
 prefix dynamic programme in bpe.py: a state is the longest suffix that may go on as a token, with the last tokens and the
 relative counts of the prefixes behind which a token may still be open. All pieces of a batch advance together, one byte a step.
+A piece of over PIECE_CHUNK bytes is cut into chunks that advance side by side, too: each begins in the state that a short stretch
+before it leads to, and gives its last state and the tokens it emits. Where that first state is the last one of the chunk before, as it nearly
+always is since old context is forgotten within a few tokens, the chunks' maps compose and their counts add up; a chunk whose guess was wrong
+is read again from the true state, so the count is exact. Compiled states are dropped, but for those in use, beyond MOST_STATES.
 
 Edge cases: null and empty texts have no bytes and no tokens. A special token's string inside a text counts as one
 token, as is the library's default. Repeated rows are counted one by one. Extra columns pass through; the three new
-columns replace input columns of the same name. A text of any length is read whole; a piece of any length advances in place.
+columns replace input columns of the same name. A text and a piece of any length are read whole.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ from .common import slices, table, utf8
 VOCABULARY = "byte_bpe_50k.json"
 #: Compiled states of the second transducer that a worker keeps between batches (about 1 kB each).
 MOST_STATES = 200_000
-#: Characters in a chunk of the first transducer.
+#: Characters in a chunk of the first transducer; bytes in one of the second, and before it, from which its first state is guessed.
 CHUNK = 256
+PIECE_CHUNK, WARM = 1024, 256
 
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
 #: States: what the last character was, or that a contraction goes on; FRESH is the start of a text.
@@ -184,17 +189,24 @@ class CountTransducer:
         at = self.state((suffix[size - longest :], (*kept, (0, token, 0))))
         self.step[state, column], self.emit[state, column] = at, count
 
-    def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tokens of each piece."""
-        if len(self.keys) > MOST_STATES:
-            self.clear()
-        data = self.columns(data)
+    def compact(self, state: np.ndarray) -> np.ndarray:
+        """Drops all states but the first and those in use; gives their new numbers."""
+        alive, at = np.unique(state, return_inverse=True)
+        keys = [self.keys[0], *(self.keys[x] for x in alive)]
+        self.keys, self.known = [], {}
+        self.step, self.emit = np.full((1024, self.width), -1, np.int32), np.zeros((1024, self.width), np.int8)
+        return np.array([self.state(k) for k in keys][1:], np.int64)[at]
+
+    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last state of each stretch data[start:start + length] of columns, read from its state, and the tokens emitted."""
         order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int32)
-        alive = len(order) - np.cumsum(np.bincount(lengths, minlength=1))  # pieces longer than k
+        starts, lengths, state = starts[order], lengths[order], state[order]
+        total = np.zeros(len(order), np.int64)
+        alive = len(order) - np.cumsum(np.bincount(lengths, minlength=1))  # stretches longer than k
         for k in range(int(lengths[0]) if len(lengths) else 0):
             m = alive[k]
+            if len(self.keys) > MOST_STATES:
+                state = self.compact(state)
             at = state[:m] * self.width + data[starts[:m] + k]
             to = self.step.ravel()[at]
             if (new := to < 0).any():
@@ -203,10 +215,37 @@ class CountTransducer:
                 to = self.step.ravel()[at]
             total[:m] += self.emit.ravel()[at]
             state[:m] = to
-        out = np.empty_like(total)
-        out[order] = total
+        last, out = np.empty_like(state), np.empty_like(total)
+        last[order], out[order] = state, total
+        return last, out
+
+    def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each piece."""
+        if len(self.keys) > MOST_STATES:
+            self.clear()
+        data = self.columns(data)
+        long = lengths > PIECE_CHUNK
+        out = np.zeros(len(starts), np.int64)
+        out[~long] = self.run(data, starts[~long], lengths[~long], np.zeros(int((~long).sum()), np.int64))[1]
+        for i in np.flatnonzero(long):
+            out[i] = self._long(data[starts[i] : starts[i] + lengths[i]])
         return out
 
+    def _long(self, data: np.ndarray) -> int:
+        """Tokens of one long piece, its chunks side by side."""
+        starts = np.arange(0, len(data), PIECE_CHUNK)
+        lengths = np.minimum(PIECE_CHUNK, len(data) - starts)
+        none = np.zeros(len(starts), np.int64)
+        warm = np.minimum(WARM, starts)
+        guess = [self.keys[x] for x in self.run(data, starts - warm, warm, none.copy())[0]]  # by key, as numbers may change
+        last, total = self.run(data, starts, lengths, np.array([self.state(k) for k in guess]))
+        ends = [self.keys[x] for x in last]
+        for i in range(1, len(starts)):
+            if guess[i] != ends[i - 1]:
+                at, n = self.run(data, starts[i : i + 1], lengths[i : i + 1], np.array([self.state(ends[i - 1])]))
+                ends[i], total[i] = self.keys[int(at[0])], n[0]
+        return int(total.sum())
+
 
 @functools.lru_cache(maxsize=1)
 def compiled(raw: bytes) -> tuple[CountTransducer, list[bytes]]:

@@ -60,6 +60,33 @@ def test_token_counts(odd, docs):
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((r.text or "").encode()), n, n > 512)
 
 
+def test_token_counts_of_long_pieces(monkeypatch):
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        transducer, added = token_counts.compiled(f.read())
+    rng = random.Random(6)
+    pieces = ["a" * 30_000, "".join(rng.choices("abcdefghij", k=20_000)), "".join(rng.choices("thequickandslow", k=50_001)), "é日" * 9_000, "=" * 12_345, "ab" * 7_000]
+    for chunk, warm, most in ((1024, 256, 200_000), (1024, 0, 200_000), (64, 3, 3_000)):  # bad guesses and few states give the same
+        monkeypatch.setattr(token_counts, "PIECE_CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "WARM", warm)
+        monkeypatch.setattr(token_counts, "MOST_STATES", most)
+        for text in pieces:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            assert token_counts.counts(transducer, added, raw, np.array([0, len(raw)])).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+            assert len(transducer.keys) <= most + 2_000
+    monkeypatch.undo()
+    raw = np.frombuffer("".join(rng.choices("abcdefghij", k=1_000_000)).encode(), np.uint8)
+    began = time.time()
+    token_counts.counts(transducer, added, raw, np.array([0, len(raw)]))
+    assert time.time() - began < 60
+
+
 def test_bpe_codec(odd, docs):
     import public_tokenizers
     import tiktoken
