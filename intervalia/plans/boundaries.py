@@ -226,3 +226,19 @@ ORACLES["snap_to_beat"] = _BASE.replace("with e as", "with recursive e as", 1) +
 mv as (select track, case when abs(t - b) <= 3.0 then b else t end as t from nb),
 r as (select track, min(t) as t from mv group by track union all select r.track, (select min(mv.t) from mv where mv.track = r.track and mv.t - r.t >= 6.0) from r where r.t is not null)
  select track, round(t, 6) as t from r where t is not null"""
+
+
+@query()
+def full_layout(spark, sf_dir):
+    """Segments of the optimal plan, labelled by their levels, laid out in seven steps; tests hold its golden cases and compare it with plain loops."""
+    from ..operators import layout as L
+
+    p = points(spark, sf_dir)
+    scored, pruned = _plan_parts(p)
+    plan = C.optimal(pruned, E._tracks(p), 12.0, 96.0, (24.0, 72.0), 0.05)
+    labelled = L.label(L.from_cuts(plan), p.select("track", "t", "value"), F.col("value") >= 250, 0.5)
+    words, regions, _ = _parts(p)
+    left = B.suppressed(scored, plan.where("role = 'cut'"))
+    limits = L.Limits(micro=20.0, soft_min=30.0, soft_max=60.0, gap=6.0, snap=3.0)
+    phrases = regions.select("track", F.col("end").alias("a"))
+    return L.lay_out(labelled, limits, left, p.select("track", "t", "value"), phrases, words, E._clicks(p)).select("track", F.col("seg").cast("bigint").alias("seg"), _r("start"), _r("end"), "kind")

@@ -52,3 +52,65 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("levels").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(spark.table("levels").collect()) == sorted(live.windowed_levels(frames).collect())
+
+
+def _levels(spark, duration, hop, values):
+    n = int(duration / hop) + 1
+    return spark.createDataFrame([(1, k * hop, float(values.get(k, 1.0))) for k in range(n)], "track bigint, t double, value double")
+
+
+def _borders(segments):
+    return [round(r.end, 1) for r in segments.orderBy("seg").collect()][:-1]
+
+
+def _two(spark):
+    return spark.createDataFrame([(1, 0.0, 30.0, "human"), (1, 30.0, 35.0, "music")], "track bigint, start double, end double, kind string")
+
+
+def test_layout_splits_at_a_quiet_phrase_border(spark):
+    times = lambda *t: spark.createDataFrame([(1, x) for x in t], "track bigint, a double")
+    limits = layout.Limits(soft_max=15.0)
+    valley = {39: 0.08, 40: 0.01, 41: 0.08}
+    assert 20.1 in _borders(layout.lay_out(_two(spark), limits, frames=_levels(spark, 35.0, 0.5, valley), phrases=times(20.1)))
+    assert _borders(layout.lay_out(_two(spark), limits, frames=_levels(spark, 35.0, 0.5, {}), phrases=times(15.0))) == [30.0]
+    words = spark.createDataFrame([(1, 19.8, 20.2)], "track bigint, start double, end double")
+    both = _borders(layout.lay_out(_two(spark), limits, frames=_levels(spark, 35.0, 0.5, valley | {43: 0.12, 44: 0.05, 45: 0.12}), phrases=times(22.0), words=words))
+    assert 22.0 in both and 20.0 not in both
+    assert _borders(layout.lay_out(_two(spark), layout.Limits(soft_max=15.0, midpoint=True))) == [15.0, 30.0]
+
+
+def test_layout_merges_what_splits_left_over(spark):
+    s = spark.createDataFrame([(1, 0.0, 21.95, "human"), (1, 21.95, 23.31, "human"), (1, 23.31, 26.47, "music")], "track bigint, start double, end double, kind string")
+    values = {}
+    for valley in (9.68, 20.70):
+        at = round(valley / 0.05)
+        for k in range(at - 20, at + 21):
+            values[k] = min(values.get(k, 1.0), 0.01 + 0.4 * abs(k - at) / 20)
+    got = layout.lay_out(s, layout.Limits(micro=2.0, soft_min=5.0, soft_max=12.0), frames=_levels(spark, 30.0, 0.05, values))
+    assert [(round(r.start, 2), round(r.end, 2), r.kind) for r in got.orderBy("seg").collect()] == [(0.0, 9.7, "human"), (9.7, 21.95, "human"), (21.95, 26.47, "music")]
+
+
+def test_layout_uses_suppressed_cuts_beats_and_the_least_gap(spark):
+    cuts = spark.createDataFrame([(1, 11.0, 0.4), (1, 18.0, 0.9), (1, 29.9, 1.0)], "track bigint, t double, score double")
+    assert _borders(layout.lay_out(_two(spark), layout.Limits(soft_max=15.0), suppressed=cuts.where("t < 29"))) == [11.0, 18.0, 30.0]
+    assert _borders(layout.lay_out(_two(spark), layout.Limits(soft_max=15.0), suppressed=cuts)) == [30.0]  # the best one is too near an end, and used up
+    beats = spark.createDataFrame([(1, 29.7), (1, 33.0)], "track bigint, a double")
+    assert _borders(layout.lay_out(_two(spark), layout.Limits(snap=0.5), beats=beats)) == [29.7]
+    short = spark.createDataFrame([(1, 0.0, 5.0, "human"), (1, 5.0, 5.5, "music_lib"), (1, 5.5, 6.0, "music"), (1, 6.0, 20.0, "human")], "track bigint, start double, end double, kind string")
+    rows = layout.lay_out(short, layout.Limits(gap=1.0)).orderBy("seg").collect()
+    assert [(r.start, r.end, r.kind) for r in rows] == [(0.0, 5.0, "human"), (5.0, 6.0, "music_lib"), (6.0, 20.0, "human")]
+
+
+def test_full_layout_tiles(spark):
+    rows = plans.queries()["full_layout"](spark, SF).orderBy("track", "seg").collect()
+    for a, b in zip(rows, rows[1:]):
+        assert (b.start == 0) if a.track != b.track else abs(a.end - b.start) < 1e-5
+
+
+def test_folds_split_groups_at_batches(spark):
+    """A group over several Arrow batches arrives whole, and many small ones in one stream stay apart."""
+    from intervalia.operators.folds import fold
+
+    rows = spark.sql("select if(id < 25000, 1L, id) as track, id as t from range(26000)")
+    got = fold(rows, ["track"], ["t"], lambda x: [x["track"][:1], [len(x["t"])], [int(x["t"][0])]], "track bigint, n bigint, first bigint").collect()
+    assert {(r.track, r.n, r.first) for r in got} == {(1, 25000, 0), *((k, 1, k) for k in range(25000, 26000))}
