@@ -421,3 +421,70 @@ def test_decontamination_long_short_and_nameless_items(spark):
     rows = [(1, f"{filler} {long} {filler}"), (2, first), (3, f"{filler} {rest}"), (4, f"{filler} zebra yak  XERUS {filler}"), (5, "zebra yak and xerus"), (6, "zebra yak"), (7, "xerus"), (8, f"x {nameless}"), (9, "yak lone")]
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
     assert got == {(1, 1), (3, 1), (4, 2), (8, None), (9, 4)}
+
+
+CONTRACTS = {
+    "op1_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op2_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op3_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op4_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op6_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op7_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op8_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_line_dedup": "doc_id bigint, n_lines bigint, n_removed bigint, n_links bigint",
+    "op10_bpe_codec": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+}
+
+
+@pytest.mark.parametrize("name", list(CONTRACTS))
+def test_registered_query(spark, name):
+    """Columns and their types, a row a document (page), and the values that a library or plain Python gives."""
+    import zlib
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from intervalia import llm
+
+    found = llm.queries()[name](spark, SF)
+    kinds = dict(found.dtypes)
+    for column in CONTRACTS[name].split(", "):
+        assert kinds[column.split()[0]] == column.split()[1]
+    key = "page_id" if name == "op7_warc" else "doc_id"
+    source = {r[0]: r[1] or "" for r in spark.read.parquet(f"{SF}/{'pages' if key == 'page_id' else 'documents'}.parquet").select(key, "html" if key == "page_id" else "text").collect()}
+    rows = {r[key]: r for r in found.collect()}
+    assert rows.keys() == source.keys()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    if name == "op2_token_counts":
+        library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        assert all(rows[k].n_tokens == len(library.encode(t, add_special_tokens=False).ids) for k, t in source.items())
+    if name == "op10_bpe_codec":
+        with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+            library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.tiktoken_ranks(f.read()), special_tokens={})
+        for k, t in source.items():
+            ids = library.encode_ordinary(t)
+            assert (rows[k].n_tokens, rows[k].ids_sha256, rows[k].decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode()))
+    if name == "op6_simhash":
+        prints = {k: simhash.fingerprint(t) & (2**64 - 1) for k, t in source.items()}
+        root = {k: k for k in prints}
+        while (new := {k: min(root[j] for j in prints if (prints[j] ^ prints[k]).bit_count() <= 4) for k in prints}) != root:
+            root = new
+        assert all((rows[k].fingerprint, rows[k].component_id) == (f"{prints[k]:016x}", root[k]) for k in prints)
+    if name in ("op3_language_id", "op8_quality_classifier"):
+        n, fold = (4, 2) if name == "op3_language_id" else (3, 1)
+        assert all(r.held_out == (zlib.crc32(str(k).encode()) % n == fold) and 0 <= r.score <= 1 for k, r in rows.items())
+    if name == "op9_line_dedup":
+        want = removed_lines(list(source.items()), {t: 0 for t in source.values()})
+        gone = {d: sum(bool(words(x)) for x in source[d].split("\n")) - sum(bool(words(x)) for x in (t or "").split("\n")) for d, t in want}
+        assert all(r.n_removed == gone[k] and r.n_links == sum(x.links for x in r.classes) for k, r in rows.items())
+
+
+def test_stages_of_empty_tables(spark, docs):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    none = docs.limit(0)
+    assert decontamination.find_leaks(none, spark.read.parquet(f"{SF}/benchmark.parquet").limit(0)).count() == 0
+    assert line_dedup.line_links(none, line_dedup.Scratch(spark, "none")).count() == 0
