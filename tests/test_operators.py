@@ -114,3 +114,46 @@ def test_folds_split_groups_at_batches(spark):
     rows = spark.sql("select if(id < 25000, 1L, id) as track, id as t from range(26000)")
     got = fold(rows, ["track"], ["t"], lambda x: [x["track"][:1], [len(x["t"])], [int(x["t"][0])]], "track bigint, n bigint, first bigint").collect()
     assert {(r.track, r.n, r.first) for r in got} == {(1, 25000, 0), *((k, 1, k) for k in range(25000, 26000))}
+
+
+def test_files_in_and_out(spark, tmp_path):
+    import hashlib
+
+    from intervalia.sources import files
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, raw in (("B.wav", b"two"), ("deep/a.mp3", b"one"), ("c.txt", b"no")):
+        (tmp_path / "in" / name).write_bytes(raw)
+    (tmp_path / "names.txt").write_text("# tracks\ndeep/a.mp3\n\nmissing.wav\n")
+    found = files.listing(spark, str(tmp_path / "in"))
+    assert sorted((r.size, r.sha256) for r in found.collect()) == [(3, hashlib.sha256(x).hexdigest()) for x in sorted((b"one", b"two"), key=lambda x: hashlib.sha256(x).hexdigest())]
+    held, missing = files.listed(spark, str(tmp_path / "names.txt"), found)
+    assert [r.path.endswith("/deep/a.mp3") for r in held.collect()] == [True] and [r.name for r in missing.collect()] == ["missing.wav"]
+    c = spark.createDataFrame([(1, 2.0, 0.5, "beat"), (1, 1.0, 0.25, "breath")], "track bigint, t double, score double, source string")
+    files.write_candidates(c, str(tmp_path / "c"))
+    assert [x["t"] for x in spark.read.json(str(tmp_path / "c")).first().candidates] == [1.0, 2.0]
+    files.write_review(c.select("track", "source"), str(tmp_path / "r"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "r"))
+    assert tuple(back.columns) == files.REVIEW and back.count() == 2
+    assert json.loads(c.select(files.request("track", "t", mode="fast")).first()[0])["mode"] == "fast"
+
+
+def test_timeline_sources(spark):
+    import pytest
+
+    def broken(_):
+        raise OSError("no server")
+
+    found, reasons = timelines.first_available(spark, [broken, lambda s: timelines.nothing(s)])
+    assert found.count() == 0 and reasons == "no server"
+    assert timelines.first_available(spark, [broken])[1] == "no server"
+    with pytest.raises(ValueError, match="off"):
+        timelines.nothing(spark, "off", strict=True)
+
+
+def test_interpolated_profiles(spark):
+    from intervalia.operators import adaptation
+
+    w = adaptation.profile_weights(spark.createDataFrame([(1, 85.0), (2, 200.0), (3, 30.0)], "track bigint, bpm double"))
+    v = spark.createDataFrame([("ballad", "x", 1.0), ("pop", "x", 3.0), ("edm", "x", 9.0)], "profile string, name string, value double")
+    assert {r.track: r.value for r in adaptation.interpolated(w, v).collect()} == {1: 2.0, 2: 9.0, 3: 1.0}

@@ -1,4 +1,4 @@
-"""Every query of the plans against its SQL in DuckDB, on the smallest tables."""
+"""Every query of the plans against its SQL in DuckDB."""
 
 import math
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from intervalia import plans
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES, ORACLES = plans.queries(), plans.oracle_sql()
 
 
