@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, table, utf8
 from .words import word_hashes
 
-ITEMS, MIN_WORDS = 1024, 8
+ITEMS, MIN_WORDS = 4096, 8
 BUCKETS = 1 << 16
 MIN_COSINE, RANK, ROUNDS = 0.6, 64, 2
 RARE = 8
+#: Of the words that an item must share, the part that isn't looked for; its commonest words, which are nearly everywhere.
+FREE = 0.7
 COVERED, COVERED_WITH_ANSWER, ANSWER_COVERED = 0.8, 0.6, 0.9
 #: Words of a block of the sums that tasks send, and groups in which these are added first.
 _BLOCK, _SALTS = 256, 256
@@ -65,7 +67,7 @@ class Queries:
         self._count_index()
 
     def _count_index(self) -> None:
-        """For sharing(): least[k] words must be shared with item k. Its most frequent words, up to half of that, are taken as shared,
+        """For sharing(): least[k] words must be shared with item k. Its most frequent words, up to a FREE part of that, are taken as shared,
         and least_rare[k] of the others must be found; rare_item from rare_begin[w] on are the items that have w among the others."""
         self.least = np.array([int(np.ceil(COVERED_WITH_ANSWER * len(w) - 1e-9)) for w in self.words], np.int64)
         self.least_rare = self.least.copy()
@@ -74,7 +76,7 @@ class Queries:
             w, n = np.unique(words, return_counts=True)
             self.tf.append((w, n))
             order = np.argsort(self.weights[w], kind="stable")
-            free = np.cumsum(n[order]) <= self.least[k] // 2
+            free = np.cumsum(n[order]) <= int(FREE * self.least[k])
             self.least_rare[k] -= n[order][free].sum()
             pairs += [(x, k) for x in w[order][~free].tolist()]
         pairs.sort()
@@ -255,20 +257,39 @@ def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
     return docs.select("doc_id", text, F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id bigint, th bigint, kind int, words array<int>, around array<int>, maybe array<int>")
 
 
-def _latent(rows: list[np.ndarray], weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Each row's vector (sqrt(tf) * idf over the vocabulary) in the basis."""
-    out = np.zeros((len(rows), basis.shape[1]), basis.dtype)
-    for i, words in enumerate(rows):
-        at, tf = np.unique(words, return_counts=True)
-        out[i] = (np.sqrt(tf) * weights[at]) @ basis[at]
-    return out
+class Vectors:
+    """Sparse vectors, sqrt(tf) * idf over the vocabulary, of the lists of words values[offsets[i]:offsets[i + 1]]."""
+
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, weights: np.ndarray):
+        self.n = len(offsets) - 1
+        row = np.repeat(np.arange(self.n), np.diff(offsets))
+        key, tf = np.unique(row * len(weights) + values[offsets[0] : offsets[-1]], return_counts=True)
+        self.row, self.word = np.divmod(key, max(1, len(weights)))
+        self.value = np.sqrt(tf) * weights[self.word]
 
+    @classmethod
+    def of(cls, column: pa.ListArray, weights: np.ndarray) -> Vectors:
+        return cls(column.values.to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy(), weights)
+
+    def latent(self, basis: np.ndarray) -> np.ndarray:
+        """Each vector in the basis."""
+        out = np.zeros((self.n, basis.shape[1]), basis.dtype)
+        if len(self.row):
+            start = np.flatnonzero(np.append(True, self.row[1:] != self.row[:-1]))
+            out[self.row[start]] = np.add.reduceat(self.value[:, None].astype(basis.dtype) * basis[self.word], start)
+        return out
 
-def _back(rows: list[np.ndarray], weights: np.ndarray, latent: np.ndarray, total: np.ndarray) -> None:
-    """Adds each row's vector times its latent vector to total."""
-    for words, own in zip(rows, latent):
-        at, tf = np.unique(words, return_counts=True)
-        total[at] += (np.sqrt(tf) * weights[at])[:, None] * own
+    def back(self, latent: np.ndarray, total: np.ndarray) -> None:
+        """Adds each vector times its latent vector to total."""
+        order = np.argsort(self.word, kind="stable")
+        word = self.word[order]
+        if len(word):
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            total[word[start]] += np.add.reduceat(self.value[order, None] * latent[self.row[order]], start)
+
+
+def _item_vectors(q: Queries) -> Vectors:
+    return Vectors(np.concatenate([np.zeros(0, np.int64), *q.words]), np.concatenate([[0], np.cumsum([len(w) for w in q.words])]).astype(np.int64), q.weights)
 
 
 def latent_basis(passages: DataFrame, q: Queries, shared) -> np.ndarray:
@@ -283,10 +304,10 @@ def latent_basis(passages: DataFrame, q: Queries, shared) -> np.ndarray:
             own, v = shared.value, now.value
             total, some = np.zeros_like(v), False
             for batch in batches:
-                for lo in range(0, batch.num_rows, 4096):
-                    rows = [np.asarray(w, np.int64) for w in batch.slice(lo, 4096).column("words").to_pylist()]
-                    _back(rows, own.weights, _latent(rows, own.weights, v), total)
-                    some = some or bool(rows)
+                for lo in range(0, batch.num_rows, 2048):
+                    vectors = Vectors.of(batch.slice(lo, 2048).column("words"), own.weights)
+                    vectors.back(vectors.latent(v), total)
+                    some = True
             if some:
                 blocks = [total[i : i + _BLOCK].tobytes() for i in range(0, len(total), _BLOCK)]
                 salt = pa.array(np.full(len(blocks), TaskContext.get().partitionId() % _SALTS), pa.int32())
@@ -303,7 +324,8 @@ def latent_basis(passages: DataFrame, q: Queries, shared) -> np.ndarray:
         for row in summed.collect():  # vocabulary x rank numbers, a bounded size
             part = np.frombuffer(row.part, np.float64).reshape(-1, rank)
             total[row.block * _BLOCK : row.block * _BLOCK + len(part)] = part
-        _back(q.words, q.weights, _latent(q.words, q.weights, basis), total)
+        items = _item_vectors(q)
+        items.back(items.latent(basis), total)
         basis = np.linalg.qr(total)[0]
         now.unpersist()
     return basis
@@ -354,22 +376,25 @@ def _leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            targets = unit(_latent(own.words, own.weights, basis.value))
+            targets = unit(_item_vectors(own).latent(basis.value))
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
                     kinds, ids, hashes = part.column("kind").to_numpy(), part.column("doc_id").to_pylist(), part.column("th").to_pylist()
-                    cosine = unit(_latent([np.asarray(w, np.int64) for w in part.column("words").to_pylist()], own.weights, basis.value)) @ targets.T
-                    around = [np.asarray(w, np.int64) for w in part.column("around").to_pylist()]
+                    cosine = unit(Vectors.of(part.column("words"), own.weights).latent(basis.value)) @ targets.T
+                    around = part.column("around")
                     found = []
                     near = (cosine >= MIN_COSINE) & (kinds[:, None] == own.classes[None, :]) & (kinds[:, None] > 0)
                     for i, maybe in enumerate(part.column("maybe").to_pylist()):
                         near[i, maybe] = True
-                    for i, k in np.argwhere(near):
-                        covered = common(own.words[k], around[i]) / len(own.words[k])
+                    last, words = -1, None
+                    for i, k in np.argwhere(near).tolist():
+                        if i != last:
+                            last, words = i, around[i].values.to_numpy(zero_copy_only=False)
+                        covered = common(own.words[k], words) / len(own.words[k])
                         if covered < COVERED_WITH_ANSWER:
                             continue
-                        answer = common(own.answers[k], around[i]) / len(own.answers[k])
+                        answer = common(own.answers[k], words) / len(own.answers[k])
                         if covered >= COVERED or answer >= ANSWER_COVERED:
                             found.append((ids[i], hashes[i], own.ids[k], float(cosine[i, k]), covered, answer))
                     if found:
