@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import runs
+from .folds import fold
+from .intervals import nearest
+from .series import greedy_gap, runs
 
 
 def grid(beats: DataFrame, tracks: DataFrame, per_bar: int = 4) -> DataFrame:
@@ -100,3 +103,41 @@ def uniform_split(tracks: DataFrame, low: float, high: float) -> DataFrame:
     n = F.when((F.col("duration") / n < low) & (n > 1), F.greatest(F.lit(1), F.floor(F.col("duration") / low))).otherwise(n).cast("bigint")
     x = tracks.where("duration > 0").withColumn("_n", n).select("track", "duration", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n"))).alias("ord"))
     return x.select("track", "ord", F.when(F.col("ord") == F.col("_n"), F.col("duration")).otherwise(F.round(F.col("ord") * F.col("duration") / F.col("_n"), 9)).alias("t"))
+
+
+def snapped_cuts(cuts: DataFrame, beats: DataFrame, bars: DataFrame, tolerance: float, least: float, dense: bool = False) -> DataFrame:
+    """track, t, snapped: cuts (track, t) inside high bars (bars: track, bar, start, high) go to the nearest quiet beat (beats: track, a, quiet) within
+    tolerance, but at most 0.4 of a track's mean beat; others stay. In order of the cuts, one less than least behind the last kept is
+    dropped. With dense, the first quiet beat of each high bar is added if over half of least away from all that is there."""
+    reach = beats.groupBy("track").agg(F.least(F.lit(tolerance), F.try_divide(0.4 * (F.max("a") - F.min("a")), F.count("*") - 1)).alias("_reach"))
+    near = nearest(cuts.select("track", "t"), beats.where("quiet").select("track", "a"))
+    held = holding_bar(near, bars).join(bars.select("track", "bar", "high"), ["track", "bar"], "left").join(reach, "track", "left")
+    go = F.coalesce(F.col("high") & (F.col("distance") <= F.coalesce("_reach", F.lit(tolerance))), F.lit(False))
+    rows = held.select("track", F.lit(0).alias("part"), "t", F.when(go, F.col("nearest_a")).otherwise(F.col("t")).alias("to"), go.alias("snapped"))
+    if dense:
+        in_bar = holding_bar(beats.select("track", F.col("a").alias("t"), "quiet"), bars).where("bar is not null").groupBy("track", "bar").agg(F.min(F.struct("t", "quiet")).alias("b"))
+        first = in_bar.join(bars.where("high").select("track", "bar"), ["track", "bar"]).where("b.quiet")
+        rows = rows.unionByName(first.select("track", F.lit(1).alias("part"), "b.t", F.col("b.t").alias("to"), F.lit(True).alias("snapped")))
+
+    def step(x: dict[str, np.ndarray]) -> list:
+        kept, flags = [0.0], [False]
+        for part, to, snapped in zip(x["part"].tolist(), x["to"].tolist(), x["snapped"].tolist()):
+            if to - kept[-1] >= least if part == 0 else min(abs(to - k) for k in kept) > 0.5 * least:
+                kept.append(to)
+                flags.append(snapped)
+        order = np.argsort(kept[1:], kind="stable")
+        return [np.full(len(order), x["track"][0]), np.array(kept[1:])[order], np.array(flags[1:], bool)[order]]
+
+    return fold(rows, ["track"], ["part", "t"], step, "track bigint, t double, snapped boolean")
+
+
+def inner_cuts(points: DataFrame, tracks: DataFrame, gap: float, margin: float) -> DataFrame:
+    """points (track, t) over margin (at most half the track) from both ends, kept in order if at least gap behind the last kept."""
+    edge = F.least(F.lit(margin), F.col("duration") / 2)
+    return greedy_gap(points.join(tracks, "track").where((F.col("t") > edge) & (F.col("t") < F.col("duration") - edge)).select("track", "t"), gap)
+
+
+def samples_at(points: DataFrame, rate: int, other: int, latency: float = 0.0) -> DataFrame:
+    """points (track, t) with the sample that holds t, the nearest one, and that at another rate of what was heard latency later."""
+    t = F.col("t")
+    return points.withColumns({"inside": F.floor(t * rate).cast("bigint"), "nearest": F.rint(t * rate).cast("bigint"), "mapped": F.greatest(F.lit(0), F.rint((F.floor(t * rate) / rate - latency) * other).cast("bigint"))})

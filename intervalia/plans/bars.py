@@ -207,3 +207,44 @@ def adjustment_filter(spark, sf_dir):
     p = points(spark, sf_dir)
     segments = p.where("event_type = 'view'").select("track", F.col("idx").alias("seg"), F.col("t").alias("end"))
     return M.near_boundaries(_adjusted(p), segments, 2.0).select("track", "n")
+
+
+_REC = _BASE.replace("with e as", "with recursive e as", 1)
+_SNAP = _REC + _GRID + """, hb as (select track, bar, start, energy >= quantile_cont(energy, 0.5) over (partition by track) as high from pb),
+qb as (select track, a, a * 10 - floor(a * 10) < 0.8 as quiet from bt), rc as (select track, least(4.0, 0.4 * (max(a) - min(a)) / nullif(count(*) - 1, 0)) as reach from qb group by track),
+vc as (select track, event_id, t from p where event_type in ('view', 'error')),
+vn as (select v.track, event_id, t, arg_min(a, (abs(t - a), a)) as b from vc v left join (select * from qb where quiet) q using (track) group by v.track, event_id, t),
+vs as (select n.*, coalesce((select high from hb where hb.track = n.track and hb.start <= n.t order by bar desc limit 1) and abs(n.t - b) <= coalesce(reach, 4.0), false) as go from vn n left join rc using (track)),
+vo as (select track, t, case when go then b else t end as "to", go, row_number() over (partition by track order by t) as n from vs),
+gs as (select track, 0::bigint as n, 0.0::double as last, null::double as took, false as go from tracks
+ union all select o.track, o.n, case when o."to" - last >= 6 then o."to" else last end, case when o."to" - last >= 6 then o."to" end, o.go from gs join vo o on o.track = gs.track and o.n = gs.n + 1)"""
+
+
+def _snap_parts(p):
+    bars = _bars(p)
+    high = F.col("energy") >= F.percentile("energy", F.lit(0.5)).over(G.Window.partitionBy("track"))
+    beats = _beats(p).withColumn("quiet", F.col("a") * 10 - F.floor(F.col("a") * 10) < 0.8)
+    return p.where("event_type in ('view', 'error')").select("track", "t"), beats, bars.withColumn("high", high)
+
+
+@query()
+def chorus_snap(spark, sf_dir):
+    return G.snapped_cuts(*_snap_parts(points(spark, sf_dir)), 4.0, 6.0).select("track", _r("t"), "snapped")
+
+
+ORACLES["chorus_snap"] = _SNAP + " select track, round(took, 6) as t, go as snapped from gs where took is not null"
+
+
+@query()
+def inner_cut_filter(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return G.inner_cuts(p.select("track", "t"), E._tracks(p), 9.0, 24.0).select("track", _r("t"))
+
+
+ORACLES["inner_cut_filter"] = _REC + """, ic as (select track, t from p join tracks using (track) where t > least(24, duration / 2) and t < duration - least(24, duration / 2)),
+ r as (select track, min(t) as t from ic group by track union all select r.track, (select min(ic.t) from ic where ic.track = r.track and ic.t - r.t >= 9.0) from r where r.t is not null) select track, round(t, 6) as t from r where t is not null"""
+
+
+@query(" select event_id, floor(t * 100)::bigint as inside, round_even(t * 100, 0)::bigint as nearest, greatest(0, round_even((floor(t * 100) / 100 - 0.25) * 44, 0))::bigint as mapped from p")
+def time_to_samples(spark, sf_dir):
+    return G.samples_at(points(spark, sf_dir).select("track", "t", "event_id"), 100, 44, 0.25).select("event_id", "inside", "nearest", "mapped")

@@ -242,3 +242,20 @@ def full_layout(spark, sf_dir):
     limits = L.Limits(micro=20.0, soft_min=30.0, soft_max=60.0, gap=6.0, snap=3.0)
     phrases = regions.select("track", F.col("end").alias("a"))
     return L.lay_out(labelled, limits, left, p.select("track", "t", "value"), phrases, words, E._clicks(p)).select("track", F.col("seg").cast("bigint").alias("seg"), _r("start"), _r("end"), "kind")
+
+
+@query()
+def phrase_summary(spark, sf_dir):
+    """Phrase boundaries from candidates to plan: how many of a track's candidates there were, went into the plan and were chosen, and by which planner."""
+    p = points(spark, sf_dir)
+    scored, pruned = _plan_parts(p)
+    plan = C.optimal(pruned, E._tracks(p), 12.0, 96.0, (24.0, 72.0), 0.05)
+    n = lambda df, name: df.groupBy("track").agg(F.count("*").alias(name))
+    chosen = plan.groupBy("track").agg(F.count(F.when(F.col("role") == "cut", 1)).alias("selected"), F.count(F.when(F.col("role") == "rescue", 1)).alias("rescued"))
+    x = E._tracks(p).join(n(scored, "candidates"), "track", "left").join(n(pruned, "planned"), "track", "left").join(chosen, "track", "left").na.fill(0)
+    planner = F.when(F.col("rescued") > 0, "rescue").otherwise("dynamic_programming")
+    return x.select("track", "candidates", "planned", "selected", planner.alias("planner"))
+
+
+ORACLES["phrase_summary"] = (_BASE + _NODES).replace("with e as", "with recursive e as", 1) + """ select track, (select count(*) from scored s where s.track = t.track) as candidates, (select count(*) from kept k where k.track = t.track) as planned,
+ count(*) filter (role = 'cut') as selected, case when count(*) filter (role = 'rescue') > 0 then 'rescue' else 'dynamic_programming' end as planner from tracks t join plan using (track) group by track"""
