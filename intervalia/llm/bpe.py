@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 
 #: Entries at which a worker's memo of pairs is emptied; it bounds memory, not results.
-MEMO = 1_000_000
+MEMO = 500_000
 NEVER = 1 << 60
 
 

@@ -25,7 +25,7 @@ from .common import slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces in each of the two halves of a worker's memo; the older half goes when the newer one is full.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def vocabulary_file(name: str = VOCABULARY) -> str:
