@@ -14,7 +14,7 @@ from .series import clusters
 
 
 def fuse(clustered: DataFrame) -> DataFrame:
-    """A row for each cluster: the best member (the first on ties), its sources in order of appearance, and its size."""
+    """A row for each cluster: the best member (the first on ties), its sources by name, and its size. boundaries.representatives() has more."""
     best = F.max_by(F.struct("t", "cand_id", "score", "source"), F.struct("score", -F.col("t"), -F.col("cand_id"))).alias("b")
     return clustered.groupBy("track", "cluster").agg(best, F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("members")).select("track", "cluster", "b.t", "b.cand_id", "b.score", "b.source", "sources", "members")
 
