@@ -231,7 +231,17 @@ class Group:
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each line its number of links, and whether one leads to an earlier line."""
         links, after = np.zeros(len(self.o), np.int64), np.zeros(len(self.o), bool)
-        for lo, hi in zip(self.bounds[:-1], self.bounds[1:]):
+        size = np.diff(self.bounds)
+        two = self.bounds[:-1][size == 2]
+        likely = self._similar(two)
+        apart = (self.i[two] == self.j[two]) | (self.own[two] != self.own[two + 1])
+        first = likely & apart & (self.pos[two] == 0) & (self.n[two + 1] - self.pos[two + 1] >= need(self.n[two], self.n[two + 1]))  # and can't have met before
+        links[two[first]] = links[two[first] + 1] = 1
+        later = self.rank[two] < self.rank[two + 1]
+        after[two[first & later] + 1] = after[two[first & ~later]] = True
+        rest = np.concatenate([two[likely & ~first], self.bounds[:-1][size > 2]])
+        for lo, n in zip(rest.tolist(), np.concatenate([np.full(int((likely & ~first).sum()), 2), size[size > 2]]).tolist()):
+            hi = lo + n
             for a in range(lo, hi - 1):
                 b = self._partners(a, hi)
                 if len(b):
@@ -242,6 +252,21 @@ class Group:
                     after[a] |= not later.all()
         return links, after
 
+    def _similar(self, a: np.ndarray) -> np.ndarray:
+        """Whether lines a and the ones behind them are similar, for all at once."""
+        if not len(a):
+            return np.zeros(0, bool)
+
+        def keys(rows: np.ndarray) -> np.ndarray:
+            n = self.n[rows]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            return np.repeat(np.arange(len(rows)), n) * len(self.marks) + self.word[np.repeat(self.start[rows], n) + place]
+
+        mine, theirs = np.sort(keys(a)), keys(a + 1)
+        n = self.n[a + 1]
+        found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        return np.add.reduceat(found.astype(np.int64), np.cumsum(n) - n) >= need(self.n[a], n)
+
     def _partners(self, a: int, hi: int) -> np.ndarray:
         own = self.word[self.start[a] : self.start[a + 1]]
         self.marks[own] = 1
