@@ -345,7 +345,8 @@ def judged_lines(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
 def _linked(docs: DataFrame, text: str, rarity: np.ndarray, classes: DataFrame, meets: DataFrame, scratch: Scratch) -> DataFrame:
     """o, links and after of the classes that have a link; meets tells which class (o) meets others at which word (w)."""
     wanted = classes.join(meets.select("o").distinct(), "o").select(F.col("x.doc_id").alias("doc_id"), F.col("x.th").alias("th"), F.col("x.line").alias("line"), "o")
-    words = scratch.write(_words_of(docs, text, rarity, wanted, scratch)).dropDuplicates(["o"])
+    stored = scratch.write(_words_of(docs, text, rarity, wanted, scratch))
+    words = stored.dropDuplicates(["o"])
     zero = F.lit(0).cast("bigint")
     hot = scratch.write(meets.groupBy("w").agg(F.ceil(F.count("*") / LINK_LIMIT).cast("bigint").alias("blocks")).where("blocks > 1"))
     if hot.isEmpty():
@@ -356,7 +357,9 @@ def _linked(docs: DataFrame, text: str, rarity: np.ndarray, classes: DataFrame,
         dealt = meets.join(hot, "w", "left").withColumn("own", own).withColumn("other", other).select("w", "o", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     both = dealt.join(words, "o").select("w", "i", "j", "own", "o", "d", "th", "line", "words")
     found = both.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j", "o").mapInArrow(_verify, "o bigint, links bigint, after boolean")
-    return scratch.write(found.groupBy("o").agg(F.sum("links").alias("links"), F.bool_or("after").alias("after")))
+    out = scratch.write(found.groupBy("o").agg(F.sum("links").alias("links"), F.bool_or("after").alias("after")))
+    scratch.drop(stored)
+    return out
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
