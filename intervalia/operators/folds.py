@@ -83,6 +83,8 @@ def _plain(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def _column(values: np.ndarray | list, kind: pa.DataType) -> pa.Array:
     if isinstance(values, np.ndarray) and values.dtype == np.int64 and pa.types.is_integer(kind):
         return pa.array(values, kind, mask=values == NONE)
+    if pa.types.is_integer(kind) and not isinstance(values, np.ndarray):
+        values = [None if v == NONE else v for v in values]
     return pa.array(values, kind, from_pandas=True)
 
 
