@@ -16,6 +16,7 @@ _QUERIES = [
     ("op8_quality_classifier", "quality_classifier", False),
     ("op9_line_dedup", "line_dedup", False),
     ("op10_bpe_codec", "bpe_codec", False),
+    ("op11_license_scan", "license_scan", False),
     ("op13_ranked_search", "lexical_search", True),
 ]
 
