@@ -17,6 +17,7 @@ _QUERIES = [
     ("op9_line_dedup", "line_dedup", False),
     ("op10_bpe_codec", "bpe_codec", False),
     ("op11_license_scan", "license_scan", False),
+    ("op12_periodic_runs", "periodic_runs", False),
     ("op13_ranked_search", "lexical_search", True),
 ]
 
