@@ -55,61 +55,72 @@ def _first_of(order_key: np.ndarray) -> np.ndarray:
 
 
 def grammar(ids: np.ndarray, text: np.ndarray) -> Boundaries:
-    """Re-Pair over ids; pairs don't cross texts (text[i] is the text of word i)."""
-    symbol, start = ids.astype(np.int64), np.arange(len(ids))
-    own = text.copy()
-    n_symbols = int(symbol.max()) + 1 if len(symbol) else 0
-    length = np.ones(len(symbol), np.int64)
+    """Re-Pair over ids; pairs don't cross texts (text[i] is the text of word i).
+
+    A symbol has the place of its first word; behind and before link it with its neighbours. A pair that is found once stays so until one of its symbols
+    changes, and is looked at again only then."""
+    n_words = len(ids)
+    symbol, own = np.append(ids.astype(np.int64), 0), np.append(text, -1)
+    behind, before = np.arange(1, n_words + 2), np.arange(-1, n_words)
+    starts, looked_at = np.ones(n_words, bool), np.ones(n_words, bool)
+    n_symbols = int(symbol.max()) + 1
     los, ats, his, counts, shifts = [], [], [], [], []
-    while len(symbol) > 1:
-        valid = own[:-1] == own[1:]
-        key = np.where(valid, symbol[:-1] * n_symbols + symbol[1:], -1)
+    while True:
+        live = np.flatnonzero(looked_at)
+        live = live[own[live] == own[behind[live]]]
+        key = symbol[live] * n_symbols + symbol[behind[live]]
+        touch = np.append(False, behind[live[:-1]] == live[1:])  # the pair before overlaps this one
         # Of equal pairs that overlap (a a a) every other one counts.
+        same = touch & ~_first_of(key)
         place = np.arange(len(key))
-        since = place - np.maximum.accumulate(np.where(_first_of(key), place, 0))
-        counted = np.flatnonzero((since % 2 == 0) & valid)
-        order = counted[np.argsort(key[counted], kind="stable")]
+        odd = (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 1
+        counted = np.flatnonzero(~odd)
+        order = counted[np.argsort(key[counted])]
         first = np.flatnonzero(_first_of(key[order]))
         n = np.diff(np.append(first, len(order)))
-        rank = np.zeros(len(first), np.int64)
-        rank[np.lexsort((mix(key[order[first]].astype(np.uint64)), -n))] = np.arange(len(first))  # the most frequent pair comes first; of equally frequent ones that with the least hash, so that many pairs are taken in a round
-        rank[n < 2] = len(first)
-        ranks = np.full(len(key) + 2, len(first))
-        ranks[order + 1] = np.repeat(rank, n)
-        odd = np.flatnonzero(since % 2 == 1)
-        ranks[odd + 1] = ranks[odd]  # the pair before is the same
-        mine, left, right = ranks[1:-1], ranks[:-2], ranks[2:]
-        take = (mine < len(first)) & (since % 2 == 0) & (mine <= right) & ((mine < left) | ((mine == left) & (since > 0)))
-        at = np.flatnonzero(take)
-        at = at[np.argsort(key[at], kind="stable")]
+        kinds = len(first)
+        # The most frequent pair comes first; of equally frequent ones that with the least hash, so that a round takes many.
+        rank = np.full(kinds, kinds)
+        repeated = np.flatnonzero(n > 1)
+        rank[repeated[np.lexsort((mix(key[order[first[repeated]]].astype(np.uint64)), -n[repeated]))]] = np.arange(len(repeated))
+        ranks = np.empty(len(key), np.int64)
+        ranks[order] = np.repeat(rank, n)
+        ranks[odd] = ranks[np.flatnonzero(odd) - 1]
+        left = np.where(touch, np.append(kinds, ranks[:-1]), kinds)
+        right = np.where(np.append(touch[1:], False), np.append(ranks[1:], kinds), kinds)
+        at = np.flatnonzero((ranks < kinds) & ~odd & (ranks <= right) & ((ranks < left) | same))
+        at = at[np.argsort(key[at])]
         first = np.flatnonzero(_first_of(key[at]))
         n = np.diff(np.append(first, len(at)))
         many = n > 1
         if not many.any():
             break
-        at, n = at[np.repeat(many, n)], n[many]
-        first = np.cumsum(n) - n
-        one = at[first]
-        size = length[one] + length[one + 1]
+        looked_at[live[ranks == kinds]] = False
+        at, n = live[at[np.repeat(many, n)]], n[many]
+        one = at[np.cumsum(n) - n]
+        middle = behind[at]
+        end = behind[middle]
+        size = behind[behind[one]] - one
         long = size >= LEAST
         if long.any():
-            los.append(start[one[long]])
-            ats.append(start[one[long] + 1])
-            his.append(start[one[long]] + size[long])
+            los.append(one[long])
+            ats.append(behind[one[long]])
+            his.append(one[long] + size[long])
             counts.append(n[long])
-            all_long = np.repeat(long, n)
-            shifts.append(start[at[all_long]] - np.repeat(start[one[long]], n[long]))
+            shifts.append(at[np.repeat(long, n)] - np.repeat(one[long], n[long]))
         symbol[at] = np.repeat(n_symbols + np.arange(len(n)), n)
-        length[at] = np.repeat(size, n)
         n_symbols += len(n)
-        keep = np.ones(len(symbol), bool)
-        keep[at + 1] = False
-        symbol, start, own, length = symbol[keep], start[keep], own[keep], length[keep]
+        behind[at] = end
+        before[end] = at
+        starts[middle] = looked_at[middle] = False
+        looked_at[at] = True
+        looked_at[before[at[before[at] >= 0]]] = True
     # What is left of each text.
-    edge = np.flatnonzero(_first_of(text)) if len(text) else np.zeros(0, np.int64)
-    end = np.append(edge[1:], len(text))
+    edge = np.flatnonzero(_first_of(text))
+    end = np.append(edge[1:], n_words)
+    start = np.flatnonzero(starts)
     which = np.searchsorted(edge, start, side="right") - 1
-    inner = np.flatnonzero((start > edge[which]) & (end[which] - edge[which] >= LEAST)) if len(start) else np.zeros(0, np.int64)
+    inner = np.flatnonzero((start > edge[which]) & (end[which] - edge[which] >= LEAST))
     los.append(edge[which[inner]])
     ats.append(start[inner])
     his.append(end[which[inner]])
