@@ -35,13 +35,13 @@ class Moves:
         return 2 * (self.crossing + self.reach + self.window) + 2
 
 
-def wave_chunks(waves: DataFrame, size: int, halo: int) -> DataFrame:
-    """waves (track, vocal, mix: arrays as long as each other) as chunks of so many samples, each with halo samples of its neighbours on both sides."""
-    n = F.size("mix")
-    x = waves.where(n > 0).select("track", "vocal", "mix", n.cast("bigint").alias("length"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size(mix) - 1) div {size}"))).alias("chunk"))
+def wave_chunks(waves: DataFrame, size: int, halo: int, columns: tuple[str, ...] = ("vocal", "mix")) -> DataFrame:
+    """waves (track and columns: arrays as long as each other) as chunks of so many samples, each with up to halo samples of its neighbours on both sides."""
+    n = F.size(columns[-1])
+    x = waves.where(n > 0).select("track", *columns, n.cast("bigint").alias("length"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size({columns[-1]}) - 1) div {size}"))).alias("chunk"))
     offset = F.greatest(F.lit(0), F.col("chunk") * size - halo)
-    cut = lambda c: F.slice(c, (offset + 1).cast("int"), F.lit(size + 2 * halo))
-    return x.select("track", "chunk", offset.cast("bigint").alias("offset"), "length", cut("vocal").alias("vocal"), cut("mix").alias("mix"))
+    end = (F.col("chunk") + 1) * size + halo
+    return x.select("track", "chunk", offset.cast("bigint").alias("offset"), "length", *(F.slice(c, (offset + 1).cast("int"), (end - offset).cast("int")).alias(c) for c in columns))
 
 
 class _Wave:
