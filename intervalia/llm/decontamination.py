@@ -1,14 +1,11 @@
 """Operator 5, benchmark decontamination by latent semantic retrieval.
 
 Documents are read as overlapping passages, twice as long as the shortest benchmark item of their size class and a quarter of
-that apart. A passage's vector has sqrt(tf) * idf for each word, idf being taken from counts over all documents, so that its squared
-length is a plain sum over its words. Two upper bounds of its cosine leave out passages under MIN_COSINE with every item of
-their class, which loses no candidate: the share of its length on the benchmark's words, and the product over an item's own
-words (those in at most RARE items) plus that of the lengths over the common ones. The randomised SVD of the rest and of the items (a
-subspace iteration whose products are summed by Spark) gives a latent space; items with a latent cosine of MIN_COSINE or more are
-candidates. So is every item that shares COVERED_WITH_ANSWER of its words, each as often as both have it, with a passage and its
-surroundings: no longest common subsequence is longer than that, so no leak is lost to the cosine. A candidate is a leak if the longest common subsequence with the passage and its surroundings covers 80 % of
-the item's words, or 60 % with nine tenths of its answer, which is its last sentence.
+that apart. A passage's vector has sqrt(tf) * idf for each word, idf being taken from counts over all documents. A leak's longest common subsequence with an item covers COVERED_WITH_ANSWER of
+the item's words at least, so passages whose surroundings don't share so many words (each as often as both have it) with any item of their class are left out first; no leak is among them. The randomised
+SVD of the rest and of the items (a subspace iteration whose products are summed by Spark) gives a latent space; items with a latent cosine of LATENT_COSINE or more to a passage are its candidates, and no other item
+is compared with it. A candidate is a leak if the longest common subsequence with the passage and its surroundings covers 80 % of the item's words, or 60 % with nine tenths of its
+answer, which is its last sentence.
 
 The benchmark is the stated query set: it is taken in blocks of ITEMS items, so what is broadcast is bounded however
 large it grows. Edge cases: null and empty texts, and items without words, match nothing. Items of under MIN_WORDS words (class 0) match
@@ -31,8 +28,8 @@ from .words import word_hashes
 
 ITEMS, MIN_WORDS = 4096, 8
 BUCKETS = 1 << 16
-MIN_COSINE, RANK, ROUNDS = 0.6, 64, 2
-RARE = 8
+#: An item of 60 % of whose words a passage twice as long is made has a TF-IDF cosine of 0.42 with it at equal weights.
+LATENT_COSINE, RANK, ROUNDS = 0.3, 64, 2
 #: Of the words that an item must share, the part that isn't looked for; its commonest words, which are nearly everywhere.
 FREE = 0.7
 COVERED, COVERED_WITH_ANSWER, ANSWER_COVERED = 0.8, 0.6, 0.9
@@ -52,21 +49,6 @@ class Queries:
     weights: np.ndarray
 
     def __post_init__(self) -> None:
-        """For the bounds: where each rare word's items begin in item and product, which words are common, and lengths of items."""
-        pairs = [(w, k, float(self.weights[w] ** 2 * np.sqrt(n))) for k, words in enumerate(self.words) for w, n in zip(*np.unique(words, return_counts=True))]
-        pairs.sort()
-        word = np.array([p[0] for p in pairs], np.int64)
-        n = np.bincount(word, minlength=len(self.vocabulary))
-        self.common = n > RARE
-        keep = ~self.common[word] if len(word) else np.zeros(0, bool)
-        self.item = np.array([p[1] for p in pairs], np.int64)[keep]
-        self.product = np.array([p[2] for p in pairs])[keep]
-        self.begin = np.concatenate([[0], np.cumsum(np.where(self.common, 0, n))])
-        self.length = np.array([np.sqrt((self.weights[w] ** 2).sum()) for w in self.words])
-        self.common_length = np.array([np.sqrt((self.weights[w] ** 2 * self.common[w]).sum()) for w in self.words])
-        self._count_index()
-
-    def _count_index(self) -> None:
         """For sharing(): least[k] words must be shared with item k. Its most frequent words, up to a FREE part of that, are taken as shared,
         and least_rare[k] of the others must be found; rare_item from rare_begin[w] on are the items that have w among the others."""
         self.least = np.array([int(np.ceil(COVERED_WITH_ANSWER * len(w) - 1e-9)) for w in self.words], np.int64)
@@ -83,8 +65,8 @@ class Queries:
         self.rare_item = np.array([k for _, k in pairs], np.int64)
         self.rare_begin = np.searchsorted(np.array([x for x, _ in pairs], np.int64), np.arange(len(self.vocabulary) + 1))
 
-    def sharing(self, place: np.ndarray, hits: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows place[lo[i]:hi[i]] (both rising) and items of this class that may have least words in common. hits: where place has a word."""
+    def sharing(self, place: np.ndarray, hits: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: int) -> np.ndarray:
+        """Windows place[lo[i]:hi[i]] (both rising) that have least words in common with an item of this class. hits: where place has a word."""
         w = place[hits]
         n = self.rare_begin[w + 1] - self.rare_begin[w]
         to = self.rare_item[np.repeat(self.rare_begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -111,10 +93,10 @@ class Queries:
                 windows.append(found)
                 items.append(np.full(len(found), k))
         if not windows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64)
         windows, items = np.concatenate(windows), np.concatenate(items)
         good = np.array([self.shared(k, place[lo[i] : hi[i]]) >= self.least[k] for i, k in zip(windows, items)], bool)
-        return windows[good], items[good]
+        return np.unique(windows[good])
 
     def shared(self, k: int, around: np.ndarray) -> int:
         """Words that item k and these have in common, each as often as both have it."""
@@ -122,27 +104,6 @@ class Queries:
         around = np.sort(around)
         return int(np.minimum(n, np.searchsorted(around, w, side="right") - np.searchsorted(around, w)).sum())
 
-    def may_match(self, words: np.ndarray, edge: np.ndarray, kind: int, length: np.ndarray) -> np.ndarray:
-        """Whether the second bound allows an item of this class, for passages words[edge[i]:edge[i + 1]] of these lengths."""
-        own = np.flatnonzero(self.classes == kind)
-        column = np.full(len(self.ids), -1)
-        column[own] = np.arange(len(own))
-        out, step = np.zeros(len(length), bool), max(1, (1 << 21) // max(1, len(own)))
-        common = np.concatenate([[0.0], np.cumsum(self.weights[words] ** 2 * self.common[words])])
-        common = np.sqrt(np.maximum(common[edge[1:]] - common[edge[:-1]], 0))
-        for lo in range(0, len(length), step):
-            hi = min(len(length), lo + step)
-            some = words[edge[lo] : edge[hi]]
-            passage = np.repeat(np.arange(hi - lo), np.diff(edge[lo : hi + 1]))
-            n = self.begin[some + 1] - self.begin[some]
-            at = np.repeat(self.begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            to = column[self.item[at]]
-            key = np.repeat(passage, n) * len(own) + to
-            sums = np.bincount(key[to >= 0], weights=self.product[at][to >= 0], minlength=(hi - lo) * len(own)).reshape(hi - lo, len(own))
-            bound = sums + common[lo:hi, None] * self.common_length[own]
-            out[lo:hi] = (bound >= (MIN_COSINE - 1e-9) * length[lo:hi, None] * self.length[own]).any(1)
-        return out
-
 
 def counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often words of each bucket occur in all documents."""
@@ -188,12 +149,12 @@ def _queries(rows: list, idf: np.ndarray) -> Queries:
     return Queries(ids, place(words), place(answers), np.array([len(w).bit_length() if len(w) >= MIN_WORDS else 0 for w in words], np.int64), vocabulary, weights)
 
 
-def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
-    """doc_id, th (hash of the text), size class, words of the passage on the vocabulary, those of its surroundings, and the items that these may cover, where a
-    bound allows a candidate."""
+def _passages(docs: DataFrame, text: str, queries) -> DataFrame:
+    """doc_id, th (hash of the text), size class, words of the passage on the vocabulary and those of its surroundings, where these share enough words with an item of the class to
+    be a leak of it; for class 0 the item that stands there word by word (short)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, weight = queries.value, idf.value
+        q = queries.value
         known = np.zeros(BUCKETS, bool)
         known[(q.vocabulary % np.uint64(BUCKETS)).astype(np.int64)] = True
         for batch in slices(batches, text):
@@ -208,13 +169,10 @@ def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
             hit = q.vocabulary[at] == hashes[maybe]
             place[maybe[hit]] = at[hit]
             hits = np.flatnonzero(place >= 0)
-            square = weight[bucket] ** 2
-            whole = np.concatenate([[0.0], np.cumsum(square)])
-            on = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, square, 0.0))])
             edge = np.searchsorted(start, offsets)
             order_of = np.argsort(place[hits], kind="stable")
             by_word = place[hits][order_of]
-            ids, kinds, inner, outer, maybes = [], [], [], [], []
+            ids, kinds, inner, outer, shorts = [], [], [], [], []
             for k in np.flatnonzero(q.classes == 0):
                 item = q.words[k]
                 at = hits[order_of[np.searchsorted(by_word, item[0]) : np.searchsorted(by_word, item[0], side="right")]]
@@ -227,7 +185,7 @@ def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
                     kinds.append(0)
                     inner.append(item)
                     outer.append(item)
-                    maybes.append(np.array([k]))
+                    shorts.append(np.array([k]))
             for kind in np.unique(q.classes[q.classes > 0]):
                 size, step = 1 << int(kind), max(1, 1 << int(kind) - 2)
                 n = np.maximum(1, -(-(np.diff(edge) - size) // step) + 1) * (np.diff(edge) > 0)
@@ -235,26 +193,19 @@ def _passages(docs: DataFrame, text: str, queries, idf) -> DataFrame:
                 first = edge[own] + (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * step
                 last = np.minimum(first + size, edge[own + 1])
                 left, right = np.maximum(edge[own], first - size), np.minimum(edge[own + 1], last + size)
-                windows, items = q.sharing(place, hits, left, right, int(kind))
-                order = np.argsort(windows, kind="stable")
-                windows, items = windows[order], items[order]
-                good = on[last] - on[first] >= MIN_COSINE**2 * (whole[last] - whole[first])
-                good = np.flatnonzero(good)
-                a, b = np.searchsorted(hits, first[good]), np.searchsorted(hits, last[good])
-                inside = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
-                may = q.may_match(place[hits[inside]], np.concatenate([[0], np.cumsum(b - a)]), int(kind), np.sqrt(whole[last[good]] - whole[first[good]]))
-                for i in np.union1d(good[may & (b > a)], windows):
+                windows = q.sharing(place, hits, left, right, int(kind))
+                for i in windows.tolist():
                     within, around = place[first[i] : last[i]], place[left[i] : right[i]]
                     ids.append(own[i])
                     kinds.append(int(kind))
                     inner.append(within[within >= 0])
                     outer.append(around[around >= 0])
-                    maybes.append(items[np.searchsorted(windows, i) : np.searchsorted(windows, i, side="right")])
+                    shorts.append(np.zeros(0, np.int64))
             if ids:
                 lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), batch.column("th").take(pa.array(ids)), pa.array(kinds, pa.int32()), lists(inner), lists(outer), lists(maybes)], names=["doc_id", "th", "kind", "words", "around", "maybe"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), batch.column("th").take(pa.array(ids)), pa.array(kinds, pa.int32()), lists(inner), lists(outer), lists(shorts)], names=["doc_id", "th", "kind", "words", "around", "short"])
 
-    return docs.select("doc_id", text, F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id bigint, th bigint, kind int, words array<int>, around array<int>, maybe array<int>")
+    return docs.select("doc_id", text, F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id bigint, th bigint, kind int, words array<int>, around array<int>, short array<int>")
 
 
 class Vectors:
@@ -360,7 +311,6 @@ def _leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     scratch = Scratch(spark, "leaks")
     total = counts(docs, text)
     idf_table = np.log((total.sum() + 1) / (total + 1)).astype(np.float64) + 1e-6
-    idf = spark.sparkContext.broadcast(idf_table)
     schema = "doc_id bigint, th bigint, item_id bigint, cosine double, covered double, answer double"
     n_blocks = -(-items.count() // ITEMS)
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(max(1, n_blocks)))
@@ -370,7 +320,7 @@ def _leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
         if not q.ids:
             continue
         shared = spark.sparkContext.broadcast(q)
-        passages = scratch.write(_passages(docs, text, shared, idf))
+        passages = scratch.write(_passages(docs, text, shared))
         basis = spark.sparkContext.broadcast(latent_basis(passages, q, shared).astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,9 +334,10 @@ def _leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
                     cosine = unit(Vectors.of(part.column("words"), own.weights).latent(basis.value)) @ targets.T
                     around = part.column("around")
                     found = []
-                    near = (cosine >= MIN_COSINE) & (kinds[:, None] == own.classes[None, :]) & (kinds[:, None] > 0)
-                    for i, maybe in enumerate(part.column("maybe").to_pylist()):
-                        near[i, maybe] = True
+                    near = (cosine >= LATENT_COSINE) & (kinds[:, None] == own.classes[None, :]) & (kinds[:, None] > 0)
+                    short = part.column("short").to_pylist()
+                    for i in np.flatnonzero(kinds == 0):  # items of a few words, which stand there word by word
+                        near[i, short[i]] = True
                     last, words = -1, None
                     for i, k in np.argwhere(near).tolist():
                         if i != last:

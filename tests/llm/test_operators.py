@@ -388,6 +388,27 @@ def test_decontamination_recall(spark, docs):
     assert got == {(d, i) for d, i in got if covering(next(x.text for x in items if x.item_id == i), dict(rows)[d])}
 
 
+def test_decontamination_candidates_are_latent(spark, monkeypatch):
+    """Without the latent cosine only items of a few words are found; a stricter one finds fewer leaks, never others."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rng = random.Random(3)
+    rows = []
+    for r in items.collect():
+        own = r.text.split()
+        for k in rng.sample(range(len(own)), len(own) // 6):
+            own[k] = f"other{rng.randrange(10**6)}"
+        rows.append((r.item_id, " ".join(own)))
+    made = spark.createDataFrame([*rows, (-1, "zebra yak xerus")], "doc_id bigint, text string")
+    asked = items.unionByName(spark.createDataFrame([(-1, "zebra yak xerus")], "item_id bigint, text string"))
+
+    def found(cosine):
+        monkeypatch.setattr(decontamination, "LATENT_COSINE", cosine)
+        return {(r.doc_id, r.item_id) for r in decontamination.find_leaks(made, asked).collect()}
+
+    usual, strict, none = found(0.3), found(0.85), found(2.0)
+    assert none == {(-1, -1)} and none < strict < usual and {(i, i) for i, _ in rows} <= usual
+
+
 def test_short_lines(spark):
     rows = [(1, "Les.\na b\nx\n\none two three four"), (2, "Les.\nb a a\ny\n\none two three four five"), (3, "b\nfour three two one\na b c\none two three\nu v w x y"), (4, "u v w x")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
