@@ -405,7 +405,7 @@ def test_decontamination_candidates_are_latent(spark, monkeypatch):
         monkeypatch.setattr(decontamination, "LATENT_COSINE", cosine)
         return {(r.doc_id, r.item_id) for r in decontamination.find_leaks(made, asked).collect()}
 
-    usual, strict, none = found(0.3), found(0.85), found(2.0)
+    usual, strict, none = found(0.3), found(0.95), found(2.0)
     assert none == {(-1, -1)} and none < strict < usual and {(i, i) for i, _ in rows} <= usual
 
 
