@@ -44,3 +44,35 @@ def scan(rows: DataFrame, order: str, start: State, states: Callable[[dict[str,
 
     entering = fold(fold(long, keys, [order], tables, "track bigint, block bigint, own binary, leaving binary"), ["track"], ["block"], chained, "track bigint, block bigint, entering binary")
     return fold(blocks.join(entering, keys, "left"), keys, [order], through, schema)
+
+
+def affine(rows: DataFrame, order: str, size: int = SIZE) -> DataFrame:
+    """track, order and y, with y = a * (the y before, 0 at first) + b, of rows (track, order from 0, a, b). A block is itself such a step, so blocks chain as their rows do."""
+    keys = ["track", "block"]
+    blocks = rows.select("track", order, "a", "b", F.expr(f"{order} div {size}").alias("block"))
+    last = rows.groupBy("track").agg(F.max(order).alias("_last")).where(F.col("_last") >= size).select("track")
+
+    def whole(x: dict[str, np.ndarray]) -> list:
+        a, b = 1.0, 0.0
+        for own_a, own_b in zip(x["a"].tolist(), x["b"].tolist()):
+            a, b = own_a * a, own_a * b + own_b
+        return [x["track"][:1], x["block"][:1], np.array([a]), np.array([b])]
+
+    def through(x: dict[str, np.ndarray]) -> list[float]:
+        y, out = 0.0 if np.isnan(x["entering"][0]) else float(x["entering"][0]), []
+        for a, b in zip(x["a"].tolist(), x["b"].tolist()):
+            y = a * y + b
+            out.append(y)
+        return out
+
+    def entered(x: dict[str, np.ndarray]) -> list:
+        y = 0.0
+        out = []
+        for a, b in zip(x["a"].tolist(), x["b"].tolist()):
+            out.append(y)
+            y = a * y + b
+        return [x["track"], x["block"], np.array(out)]
+
+    steps = fold(blocks.join(last, "track", "left_semi"), keys, [order], whole, "track bigint, block bigint, a double, b double")
+    entering = fold(steps, ["track"], ["block"], entered, "track bigint, block bigint, entering double")
+    return fold(blocks.join(entering, keys, "left"), keys, [order], lambda x: [x["track"], x[order], np.array(through(x))], f"track bigint, {order} bigint, y double")
