@@ -16,6 +16,7 @@ ANCHORS = ((60.0, "ballad"), (110.0, "pop"), (140.0, "rap"), (160.0, "edm"))
 def thresholds(tracks: DataFrame, base: float, slow: float = 1.08, fast: float = 0.92, gain: float = 0.2, low: float = 0.85, high: float = 1.15) -> DataFrame:
     """tracks (bpm, mdd; null or 0: unknown) with peak_ratio, base scaled by tempo (under 90, over 140) and dynamics within low..high, and rms_ratio."""
     inside = lambda v: min(high, max(low, v))
+    # Multipliers, tempos and limits are fixed values.
     tempo = F.when(F.col("bpm") > 140, inside(fast)).when((F.col("bpm") > 0) & (F.col("bpm") < 90), inside(slow)).otherwise(1.0)
     dynamics = F.when(F.col("mdd").isNotNull(), clamp(1 + gain * F.col("mdd"), low, high)).otherwise(1.0)
     peak = clamp(base * tempo * dynamics, 0.05, 0.6)

@@ -113,6 +113,7 @@ def manifest_diff(before: DataFrame, after: DataFrame, key: list[str], values: l
 def style(features: DataFrame) -> DataFrame:
     """features (bpm, mdd, energy_cv, voice_coverage) with the nearest profile and its confidence."""
     c = F.col
+    # Limits and confidences are fixed values.
     ballad = (c("bpm") <= 88) & (c("energy_cv") <= 0.25)
     dance = (c("bpm") >= 122) & (c("energy_cv") >= 0.65) & (c("voice_coverage") <= 0.55)
     rap = (c("bpm") >= 118) & (c("mdd") >= 0.45) & (c("voice_coverage") >= 0.68)
