@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import nearest, points_in
+from .intervals import nearest, overlapping, points_in
+
+#: Chinese characters. Fixed values.
+CHINESE = "[\u3400-\u9fff\uf900-\ufaff]"
 
 
 def restored(adjustments: DataFrame, words: DataFrame) -> DataFrame:
@@ -58,3 +61,16 @@ def near_boundaries(adjustments: DataFrame, segments: DataFrame, tolerance: floa
     inner = segments.withColumn("_last", last).where("seg < _last").select("track", F.col("end").alias("a"))
     found = nearest(adjustments.select("track", "n", F.col("final").alias("t")), inner).where(F.col("distance") <= tolerance)
     return adjustments.join(found.select("track", "n"), ["track", "n"], "left_semi")
+
+
+def segment_lyrics(segments: DataFrame, words: DataFrame, share: float = 0.5) -> DataFrame:
+    """segments (track, seg, start, end) with the text of their words (track, text, start, end), of those that lie in the segment by this share of their length, in order of start and end; first and last time,
+    and how many. Words are joined without blanks if all hold Chinese characters. A segment without words, or that doesn't last, has null and 0."""
+    own = segments.where("end > start").select("track", "seg", "start", "end")
+    both = overlapping(words.select("track", "text", "start", "end"), own)
+    inside = both.where(F.col("overlap") >= share * F.greatest(F.col("end") - F.col("start"), F.lit(1e-9)))
+    held = inside.groupBy("track", F.col("r_seg").alias("seg")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("_w"))
+    texts = F.col("_w.text")
+    joined = F.when(F.forall(texts, lambda x: x.rlike(CHINESE)), F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
+    found = held.select("track", "seg", joined.alias("text"), F.get("_w", F.lit(0)).getField("start").alias("first"), F.element_at("_w", -1).getField("end").alias("last"), F.size("_w").cast("bigint").alias("words"))
+    return segments.join(found, ["track", "seg"], "left").na.fill(0, ["words"])

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scoring import decibels
+from ..operators import matching as M
 from ..operators import profiles as R
+from ..operators.strategies import uniform_bars
 from . import events as E
 from .events import _BASE, _r, points
 from .signals import _WV, _waves
@@ -90,3 +92,15 @@ def batch_results(spark, sf_dir):
         return [x["track"][:1], np.array([len(x["value"])]), np.array([round(float(np.median(x["value"])), 6)])]
 
     return R.each_track(points(spark, sf_dir).select("track", "idx", "value"), ["idx"], work, "track bigint, levels bigint, middle double")
+
+
+@query(""", sg as (select track, k as seg, k * 30.0::double as start, (k + 1) * 30.0::double as "end" from tracks, unnest(range(0, greatest(1, ceil((duration + 30) / 30)::bigint - 1))) u(k) where duration > 0),
+ sw as (select s.track, seg, w.start, w."end", case when event_id % 4 = 0 then '歌' else 'w' end || event_id % 5 as text from sg s join words w on w.track = s.track and least(w."end", s."end") - greatest(w.start, s.start) > 0 and least(w."end", s."end") - greatest(w.start, s.start) >= 0.5 * greatest(w."end" - w.start, 1e-9)),
+ sl as (select track, seg, case when bool_and(text like '歌%') then string_agg(text, '' order by start, "end", text) else string_agg(text, ' ' order by start, "end", text) end as text, min(start) as first, arg_max("end", (start, "end")) as last, count(*) as words from sw group by track, seg)
+ select track, seg, text, round(first, 6) as first, round(last, 6) as last, coalesce(words, 0) as words from sg left join sl using (track, seg)""")
+def segment_lyrics(spark, sf_dir):
+    p = points(spark, sf_dir)
+    segments = uniform_bars(E._tracks(p).withColumn("width", F.lit(30.0))).withColumnRenamed("bar", "seg")
+    text = F.concat(F.when(F.col("event_id") % 4 == 0, "歌").otherwise("w"), (F.col("event_id") % 5).cast("string"))
+    words = E._words(p).select("track", text.alias("text"), "start", "end")
+    return M.segment_lyrics(segments, words).select("track", "seg", "text", _r("first"), _r("last"), "words")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from intervalia import plans
+from intervalia.operators import matching as M
 from intervalia.operators import profiles as R
 from intervalia.operators.scans import affine
 
@@ -48,3 +49,10 @@ def test_next_quiet(spark):
     frames = spark.createDataFrame([(1, k, v) for k, v in enumerate([-10.0, -50.0, -10.0, -10.0, -50.0, -10.0])], "track bigint, frame bigint, db double")
     points = spark.createDataFrame([(1, 1, 0.05), (1, 2, 0.15), (1, 3, 0.25), (1, 4, 0.55), (1, 5, 7.0), (1, 6, -1.0), (2, 7, 1.0)], "track bigint, point bigint, t double")
     assert [(r.point, round(r.quiet, 9)) for r in R.next_quiet(points, frames, 0.1, 0.05, 2.0).orderBy("point").collect()] == [(1, 0.1), (2, 0.15), (3, 0.4), (4, -1.0), (5, 7.0), (6, -1.0), (7, 1.0)]
+
+
+def test_segment_lyrics(spark):
+    segments = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 10.0, 20.0), (1, 2, 20.0, 30.0), (1, 3, 30.0, 30.0)], "track bigint, seg bigint, start double, end double")
+    words = spark.createDataFrame([(1, "again", 4.0, 5.0), (1, "hello", 1.0, 2.0), (1, "edge", 9.0, 11.0), (1, "most", 9.5, 12.0), (1, "歌", 21.0, 22.0), (1, "声", 22.0, 23.0)], "track bigint, text string, start double, end double")
+    got = M.segment_lyrics(segments, words).orderBy("seg").collect()
+    assert [(r.text, r.first, r.last, r.words) for r in got] == [("hello again edge", 1.0, 11.0, 3), ("edge most", 9.0, 12.0, 2), ("歌声", 21.0, 23.0, 2), (None, None, None, 0)]
