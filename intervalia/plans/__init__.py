@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["events", "boundaries", "pauses", "reports", "bars", "signals", "adaptation", "rhythm", "finals", "spectral", "strategies", "profiles"]
+_MODULES = ["events", "boundaries", "pauses", "reports", "bars", "signals", "adaptation", "rhythm", "finals", "spectral", "strategies", "profiles", "exchange"]
 
 
 def _all(name: str) -> dict:

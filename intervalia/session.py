@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,15 @@ def sound(spark: SparkSession) -> SparkSession:
     union would miss rows that belong together (seen in Spark 4.1.2). Sessions that use the operators on their own should set it too."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in that of spark.checkpoint.dir, which the driver and all executors share; a local one only where that is unset and all runs in one process, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="intervalia-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
