@@ -99,7 +99,7 @@ def line_fails(rules: LineRules) -> str:
 
 
 def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, line_chars, base_failed, kept and clean_text."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, line_chars, base_failed, kept and clean_text, which replace columns of these names in any case."""
     t = "coalesce(_text, '')"
     own = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))  # whatever docs' columns are called
     line = f"struct(l as line, btrim(l, {BLANK}) != '' as worded, size(split(l, '[#*$%&|<>]')) - 1 as n_symbols)"
@@ -120,7 +120,7 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "
     )
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     judged = counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.expr(f"100 * lost_chars <= {rules.max_lost_percent} * line_chars"))
-    return judged.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ADDED), *ADDED)
+    return judged.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED), *ADDED)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
