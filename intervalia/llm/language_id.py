@@ -44,9 +44,9 @@ class NGrams:
         letter = is_letter()[points]
         points = np.where(letter, points, 32)
         owner = np.repeat(np.arange(len(texts)), lengths)
-        keep = letter | np.append(letter[1:] & (owner[1:] == owner[:-1]), False)  # of a run of blanks, the last before a letter
-        keep |= np.append(False, letter[:-1] & (owner[1:] == owner[:-1]))  # and the first behind one
-        keep &= ~(~letter & np.append(False, ~letter[:-1] & keep[:-1]))
+        # Of a run of blanks the first stays, at a text's begin too; a text without letters has no features.
+        keep = letter | np.append(True, (owner[1:] != owner[:-1]) | letter[:-1])[: len(letter)]
+        keep &= (np.bincount(owner, letter, len(texts)) > 0)[owner]
         points, owner = points[keep].astype(np.uint64), owner[keep]
         edge = np.searchsorted(owner, np.arange(len(texts) + 1))
         value = np.zeros(len(points), np.uint64)
@@ -130,6 +130,7 @@ def fold(of: int) -> Column:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id isn't learnt from, and whether it is held out isn't known: null."""
     docs = table(spark, sf_dir, "documents")
     langs, model = train(docs.where(fold(4) != 2))
     return identify(docs.select("doc_id", "text"), langs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
