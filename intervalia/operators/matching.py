@@ -39,12 +39,14 @@ def remapped_flags(ends: DataFrame, raw: DataFrame) -> DataFrame:
     return nearest(ends, raw.select("track", "a")).join(flagged, ["track", "nearest_a"], "left").select("track", "t", F.coalesce("_flag", F.lit(False)).alias("flag"))
 
 
-def positional_difference(reference: DataFrame, candidate: DataFrame, rate: int) -> DataFrame:
-    """track, n, ms between the n-th different positions (track, sample) of both sides; fails where a track's counts differ."""
+def positional_difference(reference: DataFrame, candidate: DataFrame, rate: int, strict: bool = True) -> DataFrame:
+    """track, n, ms between the n-th different positions (track, sample) of both sides. Where a track's counts differ it fails if strict; else positions without a partner have no row."""
     w = Window.partitionBy("track").orderBy("sample")
     numbered = lambda df, name: df.select("track", "sample").distinct().withColumn("n", F.row_number().over(w)).withColumnRenamed("sample", name)
-    both = numbered(reference, "_r").join(numbered(candidate, "_c"), ["track", "n"], "full")
-    ms = F.when(F.col("_r").isNull() | F.col("_c").isNull(), F.raise_error(F.lit("the sides have different counts")).cast("double")).otherwise(F.abs(F.col("_r") - F.col("_c")) * 1000.0 / rate)
+    both = numbered(reference, "_r").join(numbered(candidate, "_c"), ["track", "n"], "full" if strict else "inner")
+    ms = F.abs(F.col("_r") - F.col("_c")) * 1000.0 / rate
+    if strict:
+        ms = F.when(F.col("_r").isNull() | F.col("_c").isNull(), F.raise_error(F.lit("the sides have different counts")).cast("double")).otherwise(ms)
     return both.select("track", "n", ms.alias("ms"))
 
 
