@@ -83,6 +83,30 @@ class Path:
         return x[-span:]
 
 
+def deviations(onsets: DataFrame) -> DataFrame:
+    """track, _d (the sample deviation of its onsets) and n. Paths can be equally good but for the last bits of the deviation, so these mustn't depend on how rows are dealt:
+    onsets are taken one by one in their order, and what SIZE of them make is put together in their order."""
+
+    def one(x: dict[str, np.ndarray]) -> list:
+        mean = squares = 0.0
+        for n, v in enumerate(x["value"].tolist(), 1):
+            off = v - mean
+            mean += off / n
+            squares += off * (v - mean)
+        return [x["track"][:1], x["block"][:1], np.array([len(x["value"])]), np.array([mean]), np.array([squares])]
+
+    def whole(x: dict[str, np.ndarray]) -> list:
+        n, mean, squares = int(x["n"][0]), float(x["mean"][0]), float(x["squares"][0])
+        for more, m, q in zip(x["n"][1:].tolist(), x["mean"][1:].tolist(), x["squares"][1:].tolist()):
+            off, n = m - mean, n + more
+            mean += off * more / n
+            squares += q + off * off * more * (n - more) / n
+        return [x["track"][:1], np.array([np.sqrt(squares / (n - 1)) if n > 1 else np.nan]), np.array([n])]
+
+    blocks = fold(onsets.select("track", "idx", "value", F.expr(f"idx div {SIZE}").alias("block")), ["track", "block"], ["idx"], one, "track bigint, block bigint, n bigint, mean double, squares double")
+    return fold(blocks, ["track"], ["block"], whole, "track bigint, _d double, n bigint")
+
+
 def _flat(a: np.ndarray) -> list[bytes]:
     return [a.tobytes()]
 
@@ -90,7 +114,7 @@ def _flat(a: np.ndarray) -> list[bytes]:
 def beats(onsets: DataFrame, periods: DataFrame, tightness: float = 100.0, size: int = SIZE) -> DataFrame:
     """track, idx: the beats of the best path that ends within the last period of the track. Onsets are taken in units of their deviation; a track without any, or without a period
     (periods: track, period), has no beats."""
-    figures = onsets.groupBy("track").agg(F.stddev_samp("value").alias("_d"), F.count("*").alias("n")).where("_d > 0").join(periods.select("track", "period"), "track")
+    figures = deviations(onsets).where("_d > 0").join(periods.select("track", "period"), "track")
     own = onsets.join(figures, "track").select("track", F.expr(f"idx div greatest({size}, 2 * period)").alias("block"), "idx", (F.col("value") / F.col("_d")).alias("value"), "period", "n")
     long = own.where(f"n > greatest({size}, 2 * period)")
 
