@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -71,7 +72,8 @@ def fold(rows: DataFrame, keys: list[str], order: list, step: Step, schema: str,
         if held:
             yield from done(held, np.array([0, sum(b.num_rows for b in held)]))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    # Dealt by the keys themselves, rows that a join has dealt so already wouldn't be dealt again; where adaptive execution then makes that join a broadcast, it reads them as they lie, and groups fall apart.
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
 def _plain(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

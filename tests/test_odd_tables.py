@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from intervalia import plans
 from intervalia.operators import matching as M
 from intervalia.operators import pauses as P
+from intervalia.operators.folds import fold
 
 from .test_oracles import rows
 
@@ -55,3 +56,18 @@ def test_levels_of_pauses_are_added_in_one_order(spark, parts):
     assert [(r.start, r.energy) for r in pauses.orderBy("start").collect()] == [(3.0, 39.400000000000006), (15.0, 39.4)]
     kept = P.cap_valleys(pauses, spark.createDataFrame([(1, 21.0)], "track bigint, duration double"), 96.0)
     assert [r.start for r in kept.collect()] == [15.0]
+
+
+def test_groups_stay_whole_where_a_join_becomes_a_broadcast(spark):
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        rows = spark.range(400000, numPartitions=8).selectExpr("id % 10 as track", "id as n")
+        few = spark.range(3).selectExpr("id as track", "id as more")
+        counts = fold(rows.join(few, "track", "left"), ["track"], ["n"], lambda x: [x["track"][:1], [len(x["n"])]], "track bigint, n bigint")
+        assert sorted(map(tuple, counts.collect())) == [(k, 40000) for k in range(10)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
