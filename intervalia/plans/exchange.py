@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.waveforms import split_exactly
-from ..session import work_folder
+from ..session import shuffled_by, work_folder
 from ..sources.waves import read_waves, write_segments, write_waves
 from ..streaming.spans import merged_spans
 from . import events as E
@@ -18,6 +20,8 @@ ORACLES: dict[str, str] = {}
 query = E.registrar(QUERIES, ORACLES)
 
 VECTORS, RATE = 16, 64
+#: Rows for which a stream gets one more state partition. A partition starts Python workers and commits its state in every micro-batch, however few its rows.
+ROWS = 1_000_000
 #: A sample as a file of so many bits gives it back.
 _KEPT = "round_even(greatest(-1, least(1, x)) * {most}, 0) / {scale}::double"
 _KEPT_24, _KEPT_16 = _KEPT.format(most=(1 << 23) - 1, scale=1 << 23), _KEPT.format(most=(1 << 15) - 1, scale=1 << 15)
@@ -57,17 +61,21 @@ def streamed_spans(spark, sf_dir):
 
 
 def streamed(spark, regions, files: int):
-    """regions (times in hours) merged by a stream that takes so many files at a time."""
+    """regions (times in hours) merged by a stream that takes so many files at a time. A quarter may be more or fewer files than that, so that a micro-batch begins or ends within
+    a quarter: no row comes later than a quarter."""
     folder, form = work_folder(spark, "streamed_spans"), "track bigint, start double, end double"
     regions.write.parquet(f"{folder}/regions")
     rows = spark.read.schema(form).parquet(f"{folder}/regions")
-    first, last, end = rows.agg(F.min("start"), F.max("start"), F.max("end")).first()
+    first, last, end, n = rows.agg(F.min("start"), F.max("start"), F.max("end"), F.count("*")).first()
     for part in range(4 if last is not None else 0):
         lo, hi = (first + (last - first) * x / 4 for x in (part, part + 1))
         rows.where((F.col("start") >= lo) & ((F.col("start") < hi) | F.lit(part == 3))).write.mode("append").parquet(f"{folder}/in")
-    closing = spark.range(1).select(F.lit(None).cast("bigint").alias("track"), F.lit((end or 0.0) + 10.0).alias("start"), F.lit(None).cast("double").alias("end"))
+    late = 1.0 + (0.0 if last is None else (last - first) / 4)
+    closing = spark.range(1).select(F.lit(None).cast("bigint").alias("track"), F.lit((end or 0.0) + late + 10.0).alias("start"), F.lit(None).cast("double").alias("end"))
     closing.write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(form).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
-    merged = merged_spans(stream, late="1 hour", second=3600.0)
-    merged.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    merged = merged_spans(stream, late=f"{math.ceil(late * 3600)} seconds", second=3600.0)
+    with shuffled_by(spark, max(files, n // ROWS)):
+        q = merged.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+        q.awaitTermination()
     return spark.read.schema("track bigint, start double, end double, n bigint").parquet(f"{folder}/out")

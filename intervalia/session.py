@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +30,18 @@ def sound(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def shuffled_by(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Queries that start inside are dealt to so many partitions, at most to the session's own number."""
+    name = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(name)
+    spark.conf.set(name, min(int(own), partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder in that of spark.checkpoint.dir, which the driver and all executors share; a local one only where that is unset and all runs in one process, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -65,3 +65,24 @@ def test_tables_and_empty_streams(spark):
     rows = [*made(4), (1, 2.0, None), (1, None, 2.0)]
     assert key(merged_spans(spark.createDataFrame(rows, FORM), 0.1).collect()) == key(merge(spark.createDataFrame(rows[:-2], FORM), 0.1).collect())
     assert streamed(spark, spark.createDataFrame([], FORM), 1).count() == 0
+
+
+@pytest.mark.parametrize("parts,files", [(5, 4), (5, 1), (1, 3)])
+def test_quarters_of_more_or_fewer_files_than_a_batch_takes(spark, parts, files):
+    rng = random.Random(5)
+    regions = [(rng.randrange(40), t := rng.uniform(0, 700), t + rng.uniform(0, 10)) for _ in range(1500)]
+    rows = spark.createDataFrame(regions, FORM)
+    assert key(streamed(spark, rows.repartition(parts), files).collect()) == key(merge(rows, 0.0).collect())
+
+
+def test_tracks_share_states(spark, tmp_path):
+    rng, base = random.Random(6), str(tmp_path)
+    rows = [(rng.choice([None, "", "a", f"t{rng.randrange(300)}"]), t := rng.uniform(0, 50), t + rng.uniform(0, 2)) for _ in range(2000)]
+    frame = spark.createDataFrame([*rows, (None, 1e6, None)], FORM.replace("bigint", "string"))
+    frame.coalesce(1).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{base}/in")
+    q = merged_spans(stream, 0.1, "200 seconds", buckets=8).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
+    q.awaitTermination()
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= 8
+    plain = lambda found: sorted((r["track"] or str(r["track"]), r["start"], r["end"], r["n"]) for r in found)
+    assert plain(spark.read.parquet(f"{base}/out").collect()) == plain(merge(spark.createDataFrame(rows, stream.schema), 0.1).collect())
