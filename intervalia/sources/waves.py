@@ -5,16 +5,19 @@ sees names and sizes only. Rows: path (below the folder), chunk, offset (frames
 with no samples. A data part that ends early counts as far as its frames are whole.
 Options: chunkFrames; splitBytes; channels "mono" (the mean, default) or "keep" (interleaved); mode "FAILFAST" (default) or "PERMISSIVE" (a damaged file becomes a row with its error).
 
-Writing. Rows path, chunk, length, samples, a file's chunks in order and in one task (`write_waves` deals and sorts them). A task streams chunks to a staging folder, so it holds one batch; the
-driver moves the files when all tasks are done, and a failed job leaves none. The format ends at 4 GB a file; longer waves raise an error. Samples over 1 in size are clipped, null and NaN are 0.
+Writing. Rows path, chunk, length, samples, a file's chunks in order and in one task (`write_waves` deals and sorts them). A task streams chunks to numbered files in a staging folder, so it holds one batch, and lists their names
+there; the driver gets the folders only and moves their files side by side when all tasks are done, and a failed job leaves none. The format ends at 4 GB a file; longer waves raise an error. Samples over 1 in size are clipped, null and NaN are 0.
 Options: rate; bits 16, 24 or 32; channels (samples are interleaved)."""
 
 from __future__ import annotations
 
+import io
+import json
 import re
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +31,9 @@ SCHEMA = "path string, chunk bigint, offset bigint, rate int, channels int, bits
 _ARROW = pa.schema(
     [("path", pa.string()), ("chunk", pa.int64()), ("offset", pa.int64()), ("rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("length", pa.int64()), ("samples", pa.list_(pa.float64())), ("error", pa.string())]
 )
-_OPENING = 1 << 20  # what opening a file costs, in bytes
+_OPENING = 1 << 16  # what opening a file costs, in bytes
+_ROWS = 1 << 10  # rows of short files in a batch
+_MOVERS = 32  # threads that move files
 _PCM, _FLOAT, _EXTENSIBLE = 1, 3, 0xFFFE
 
 
@@ -133,6 +138,17 @@ class _Reader(DataSourceReader):
         return [*out, _Pieces(held)]
 
     def read(self, partition: _Pieces) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in self._rows(partition):
+            rows.append(row)
+            held += 0 if row[7] is None else len(row[7])
+            if held >= self.frames or len(rows) >= _ROWS:
+                yield self._batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _rows(self, partition: _Pieces) -> Iterator[tuple]:
         system, base = _at(self.folder)
         for path, size, a, b in partition.pieces:
             name = path[len(base) :].strip("/") or path.rsplit("/", 1)[-1]
@@ -143,13 +159,14 @@ class _Reader(DataSourceReader):
                     if not self.lenient:
                         raise ValueError(f"{path}: {e}") from e
                     if a == 0:
-                        yield self._row(name, str(e))
+                        yield (name, *(None,) * 7, str(e))
                     continue
                 yield from self._chunks(f, name, h, a, b)
 
-    def _chunks(self, f, name: str, h: _Header, a: int, b: int) -> Iterator[pa.RecordBatch]:
+    def _chunks(self, f, name: str, h: _Header, a: int, b: int) -> Iterator[tuple]:
+        told = (h.rate, h.channels, h.bits, h.length)
         if not h.length and a == 0:
-            yield self._row(name, None, 0, 0, h, np.empty(0))
+            yield (name, 0, 0, *told, np.empty(0), None)
         step = self.frames * h.frame
         first, behind = (max(0, -(-(x - h.data) // step)) for x in (a, b))
         for k in range(first, min(behind, -(-h.length // self.frames))):
@@ -159,21 +176,22 @@ class _Reader(DataSourceReader):
             samples = _decoded(f.read(n * h.frame), h)
             if self.mono and h.channels > 1:
                 samples = samples.reshape(-1, h.channels).mean(axis=1)
-            yield self._row(name, None, k, offset, h, samples)
+            yield (name, k, offset, *told, samples, None)
 
     @staticmethod
-    def _row(name: str, error: str | None, chunk: int | None = None, offset: int | None = None, h: _Header | None = None, samples: np.ndarray | None = None) -> pa.RecordBatch:
-        told = (h.rate, h.channels, h.bits, h.length) if h else (None,) * 4
-        values = [name, chunk, offset, *told]
-        listed = pa.array([None], pa.list_(pa.float64())) if samples is None else pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples, pa.float64()))
-        return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(values, _ARROW.types)), listed, pa.array([error], pa.string())], schema=_ARROW)
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        lists = [np.empty(0) if x is None else x for x in columns[7]]
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists), pa.float64()), mask=pa.array([x is None for x in columns[7]]))
+        return pa.RecordBatch.from_arrays([samples if i == 7 else pa.array(c, t) for i, (c, t) in enumerate(zip(columns, _ARROW.types))], schema=_ARROW)
 
 
 @dataclass
 class _Staged(WriterCommitMessage):
-    """(staged, final) paths of a task's files."""
+    """The folder of a task's files; none where it had no rows. Its file `names` has their paths below the final folder, one a line, in the order of their numbers."""
 
-    files: list[tuple[str, str]]
+    folder: str | None
 
 
 class _File:
@@ -185,7 +203,6 @@ class _File:
         if n > 0xFFFFFFFF - 64:
             raise ValueError(f"{path}: {n} bytes of samples don't fit the format")
         self.pad = n % 2
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out = system.open_output_stream(path)
         frame = channels * bits // 8
         self.out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n + self.pad, b"WAVE", b"fmt ", 16, _PCM, channels, rate, rate * frame, frame, bits, b"data", n))
@@ -212,8 +229,8 @@ class _Writer(DataSourceArrowWriter):
         self.staging = f"{_at(self.folder)[1].rstrip('/')}/_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Staged:
-        system, base = _at(self.folder)
-        own, name, now, done = f"{self.staging}/{uuid.uuid4().hex}", None, None, []
+        system, _ = _at(self.folder)
+        own, name, now, names, n = f"{self.staging}/{uuid.uuid4().hex}", None, None, None, 0
         for batch in iterator:
             samples = batch["samples"]
             for i, (path, chunk, length) in enumerate(zip(*(batch[c].to_pylist() for c in ("path", "chunk", "length")))):
@@ -222,12 +239,16 @@ class _Writer(DataSourceArrowWriter):
                 if path != name:
                     if now:
                         now.close()
-                    name, now = path, _File(system, f"{own}/{path}.wav", length, self.rate, self.bits, self.channels)
-                    done.append((f"{own}/{path}.wav", f"{base.rstrip('/')}/{path}.wav"))
+                    if names is None:
+                        system.create_dir(own, recursive=True)
+                        names = system.open_output_stream(f"{own}/names")
+                    name, now, n = path, _File(system, f"{own}/{n}.wav", length, self.rate, self.bits, self.channels), n + 1
+                    names.write(json.dumps(f"{path}.wav").encode() + b"\n")
                 now.add(chunk, samples[i].values.to_numpy(zero_copy_only=False).astype(np.float64) if samples[i].is_valid else np.empty(0))
         if now:
             now.close()
-        return _Staged(done)
+            names.close()
+        return _Staged(own if now else None)
 
     def commit(self, messages: list[_Staged | None]) -> None:
         system, base = _at(self.folder)
@@ -236,9 +257,19 @@ class _Writer(DataSourceArrowWriter):
             for f in system.get_file_info(fs.FileSelector(base, recursive=True)):
                 if f.is_file and f.path.endswith(".wav") and not f.path.startswith(self.staging):
                     system.delete_file(f.path)
-        for staged, final in (pair for m in messages if m for pair in m.files):
-            system.create_dir(final.rsplit("/", 1)[0], recursive=True)
-            system.move(staged, final)
+        there: set[str] = set()
+
+        def move(folder: str) -> None:
+            with system.open_input_stream(f"{folder}/names") as f:
+                for n, line in enumerate(io.BufferedReader(f)):
+                    final = f"{base.rstrip('/')}/{json.loads(line)}"
+                    if (at := final.rsplit("/", 1)[0]) not in there:
+                        system.create_dir(at, recursive=True)
+                        there.add(at)
+                    system.move(f"{folder}/{n}.wav", final)
+
+        with ThreadPoolExecutor(_MOVERS) as pool:
+            list(pool.map(move, [m.folder for m in messages if m and m.folder]))
         self.abort(messages)
 
     def abort(self, messages: list[_Staged | None]) -> None:

@@ -1,14 +1,16 @@
 """Waves as files: round trips, foreign and damaged files, splits by bytes, failures."""
 
 import os
+import pickle
 import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from intervalia.sources.waves import peak_normalised, read_waves, segment_name, write_segments, write_waves
+from intervalia.sources.waves import _Reader, _Writer, peak_normalised, read_waves, segment_name, write_segments, write_waves
 
 ROWS = "path string, chunk bigint, length bigint, samples array<double>, LENGTH_ string"
 
@@ -135,3 +137,20 @@ def test_peaks(spark):
     rows = [("a", 0, [0.5, -0.25]), ("a", 1, [-0.1]), ("b", 0, [0.0]), ("c", 0, [])]
     got = {(r["path"], r["chunk"]): r["samples"] for r in peak_normalised(spark.createDataFrame(rows, "path string, chunk bigint, samples array<double>")).collect()}
     assert got == {("a", 0): [1.0, -0.5], ("a", 1): [-0.2], ("b", 0): [0.0], ("c", 0): []}
+
+
+def test_many_short_files_cost_the_driver_little(tmp_path):
+    folder, n = str(tmp_path / "out"), 3000
+    writer = _Writer({"path": folder, "rate": "8", "bits": "16"}, False)
+    paths = [f"d{k // 3}/a\n{k}" for k in range(n)]
+    tasks = [pa.RecordBatch.from_pydict({"path": p, "chunk": [0] * len(p), "length": [2] * len(p), "samples": [[0.5, -0.5]] * len(p)}) for p in (paths[:1000], paths[1000:])]
+    messages = [writer.write(iter([t])) for t in tasks] + [writer.write(iter([]))]
+    assert max(len(pickle.dumps(m)) for m in messages) < 500
+    writer.commit(messages)
+    assert files(folder) == sorted(f"{p}.wav" for p in paths)
+    reader = _Reader({"path": folder})
+    parts = reader.partitions()
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(parts) <= 4 and len(batches) <= 8
+    assert sorted(p for b in batches for p in b["path"].to_pylist()) == files(folder)
+    assert all(x == pytest.approx([0.5, -0.5], abs=1e-4) for b in batches for x in b["samples"].to_pylist())
