@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import boundaries as B
 from ..operators import candidates as C
 from ..operators import series as S
+from ..session import stored
 from . import events as E
 from .events import _BASE, _r, points
 
@@ -148,8 +149,10 @@ _PRUNED = _ALL + """, val as (select s.*, score - 0.15 * conflict as value, dura
 kept as (select * from (select *, row_number() over (partition by track, floor(t / 24) order by value desc, t, cand_id) as rn from val) where rn <= 3)"""
 
 
-def _plan_parts(p):
+def _plan_parts(p, once: str | None = None):
+    """Candidates with scores, and those that the planner gets; with once, scores are a work table of that name for queries that read both."""
     scored = B.linear_score(_features(p)).select("track", "cand_id", "t", "score", "source", F.col("beat_conflict").alias("conflict"), F.lit(0.0).alias("risk"))
+    scored = stored(scored, once) if once else scored
     return scored, C.prune(C.net_value(scored), E._tracks(p), 3, 24.0)
 
 
@@ -233,9 +236,9 @@ def full_layout(spark, sf_dir):
     """Segments of the optimal plan, labelled by their levels, laid out in seven steps; tests hold its golden cases and compare it with plain loops."""
     from ..operators import layout as L
 
-    p = points(spark, sf_dir)
-    scored, pruned = _plan_parts(p)
-    plan = C.optimal(pruned, E._tracks(p), 12.0, 96.0, (24.0, 72.0), 0.05)
+    p = stored(points(spark, sf_dir), "full_layout")
+    scored, pruned = _plan_parts(p, "full_layout")
+    plan = stored(C.optimal(pruned, E._tracks(p), 12.0, 96.0, (24.0, 72.0), 0.05), "full_layout")
     labelled = L.label(L.from_cuts(plan), p.select("track", "t", "value"), F.col("value") >= 250, 0.5)
     words, regions, _ = _parts(p)
     left = B.suppressed(scored, plan.where("role = 'cut'"))
