@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +38,8 @@ def refine(segments: DataFrame, micro: float, soft_min: float, soft_max: float)
     """Segments under micro join the neighbour with the smaller sum within soft_max (the left one on ties); those under soft_min join the
     cheaper neighbour, another kind costing the sum and one more; those over soft_max are halved until they fit."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [[r.start, r.end, r.kind] for r in pdf.sort_values("start").itertuples()]
+    def step(x: dict[str, np.ndarray]) -> list:
+        rows = [list(r) for r in zip(x["start"].tolist(), x["end"].tolist(), x["kind"])]
 
         def sides(i: int) -> list[tuple[float, int, int]]:
             return [(rows[j + 1][1] - rows[j][0], j, side) for side, j in ((0, i - 1), (1, i)) if 0 <= j < len(rows) - 1]
@@ -74,9 +73,10 @@ def refine(segments: DataFrame, micro: float, soft_min: float, soft_max: float)
             while (end - start) / n > soft_max:
                 n *= 2
             out += [(start + (end - start) * k / n, start + (end - start) * (k + 1) / n, kind) for k in range(n)]
-        return pd.DataFrame([(key[0], k, *r) for k, r in enumerate(out)], columns=["track", "seg", "start", "end", "kind"])
+        starts, ends, kinds = zip(*out)
+        return [np.full(len(out), x["track"][0]), np.arange(len(out)), np.array(starts), np.array(ends), list(kinds)]
 
-    return segments.groupBy("track").applyInPandas(one, _SEGMENTS)
+    return fold(segments.select("track", "start", "end", "kind"), ["track"], ["start", "end"], step, _SEGMENTS)
 
 
 @dataclass(frozen=True)

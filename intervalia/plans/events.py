@@ -9,6 +9,7 @@ from ..functions.scoring import clamp, decibels
 from ..operators import candidates as C
 from ..operators import intervals as I
 from ..operators import series as S
+from ..session import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -332,7 +333,7 @@ def snap_to_beat(spark, sf_dir):
 def segment_layout(spark, sf_dir):
     from ..operators import layout as L
 
-    p = points(spark, sf_dir)
+    p = stored(points(spark, sf_dir), "segment_layout")
     best = C.fuse(S.clusters(_candidates(p), 1.0, ["source", "cand_id"]))
     cuts = C.plan(C.top_per_bucket(best, 3, 24.0), _tracks(p), 12.0, 96.0, (24.0, 72.0))
     labelled = L.label(L.from_cuts(cuts), p.select("track", "t", "value"), F.col("value") >= 250, 0.5)

@@ -157,3 +157,11 @@ def test_interpolated_profiles(spark):
     w = adaptation.profile_weights(spark.createDataFrame([(1, 85.0), (2, 200.0), (3, 30.0)], "track bigint, bpm double"))
     v = spark.createDataFrame([("ballad", "x", 1.0), ("pop", "x", 3.0), ("edm", "x", 9.0)], "profile string, name string, value double")
     assert {r.track: r.value for r in adaptation.interpolated(w, v).collect()} == {1: 2.0, 2: 9.0, 3: 1.0}
+
+
+def test_layouts_compute_their_parts_once(spark):
+    """Points are a work table, which no reading computes anew, and segments are no call of pandas for each track."""
+    for name in ("full_layout", "segment_layout"):
+        df = plans.queries()[name](spark, SF)
+        assert df.inputFiles() and not any(f.endswith("events.parquet") for f in df.inputFiles())
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
